@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, st
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [enc.encode(x.as_py()) for x in part.column(1)]
+                ids = list(enc.encode_many(x.as_py() for x in part.column(1)))
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int32)]).astype(np.int32)), values)

@@ -90,8 +90,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
         enc, grp = encoder(tokenizer, end_id), TaskContext.get().partitionId()
         items, whole, n_whole = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(enc.encode(text.as_py()))
+            for doc, coded in zip(batch.column(0).to_pylist(), enc.encode_many(x.as_py() for x in batch.column(1)), strict=True):
+                ids = memoryview(coded)
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     m = (doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), 0)
                     (whole if length == capacity else items).append((length, [m]))

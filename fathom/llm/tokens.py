@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from collections.abc import Iterable, Iterator
+from struct import pack
 
 _SPLIT_OK = re.compile(r" (?:\s|$)")
+_MARKS = ".,;:!?"
 _ENCODERS: dict = {}
 
 
@@ -13,12 +17,13 @@ class IdEncoder:
     """Texts to little-endian unsigned 32-bit ids.
 
     A byte-level BPE of this kind starts a new pre-token at every blank that a non-blank follows, so such a text is cut at its
-    blanks and each piece is encoded once and kept; only pieces not seen yet go through the library. Texts in which a blank
-    stands before white space or at the end go through the library whole, as do tokenizers of another kind (pieces=False).
-    The kept pieces are bounded by their number and length.
+    blanks and each piece is encoded once and kept; only pieces not seen yet go through the library, those of many texts at a
+    time. Texts in which a blank stands before white space or at the end go through the library whole, as do all texts of
+    tokenizers of another kind (pieces=False). Kept pieces are bounded by number and length: once a generation of `keep` pieces is
+    full, the next begins, and what it asks for is taken over from the last.
     """
 
-    def __init__(self, path: str, end_id: int | None = 2, pieces: bool = True, keep: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, end_id: int | None = 2, pieces: bool = True, keep: int = 400_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -26,33 +31,80 @@ class IdEncoder:
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
         self.pieces, self.keep, self.longest = pieces, keep, longest
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of what follows a blank, with that blank
+        self.last: dict[str, bytes] = {}
+        self.marks = dict(zip(_MARKS, self._library(list(_MARKS)), strict=True))
+        self.widths = None
 
     def _library(self, texts: list[str]) -> list[bytes]:
+        return [pack(f"<{len(ids)}I", *ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False) for ids in (e.ids,)]
+
+    def _library_pieces(self, pieces: list[str], at_once: int = 2000) -> Iterator[bytes]:
+        """Ids of pieces, each to be led by a blank. They go through the library strung together, as a text of its own; the bytes that
+        each id stands for tell where a piece ends."""
         import numpy as np
 
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.widths is None:
+            vocab = self.lib.get_vocab()
+            self.widths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+            for token, i in vocab.items():
+                self.widths[i] = len(token)  # the byte-level alphabet has a character for each byte
+        for at in range(0, len(pieces), at_once):
+            part = pieces[at : at + at_once]
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len(x.encode()) + 1 for x in part])
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends, side="left") + 1
+            data, begin = ids.tobytes(), 0
+            for end in (4 * cuts).tolist():
+                yield data[begin:end]
+                begin = end
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text, with the end id; None counts as empty."""
-        if not text:
-            return self.end
-        if not self.pieces or _SPLIT_OK.search(text):
-            return self._library([text])[0] + self.end
-        first, *rest = text.split(" ")
-        parts = ([first] if first else []) + [" " + x for x in rest]
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, parts)) + self.end
-        except KeyError:
-            pass
-        new = list({x for x in parts if x not in known})
-        got = dict(zip(new, self._library(new), strict=True))
-        out = b"".join([known[x] if x in known else got[x] for x in parts]) + self.end
-        if len(known) + len(got) > self.keep:
-            known.clear()
-        known.update((k, v) for k, v in got.items() if len(k) <= self.longest)
-        return out
+        return next(iter(self.encode_many([text])))
+
+    def encode_many(self, texts: Iterable[str | None], at_once: int = 1 << 20) -> Iterator[bytes]:
+        """encode() of each text, in order; about at_once characters are worked on together."""
+        gc.disable()  # nothing here is cyclic, and collections would walk the kept pieces again and again
+        group, size = [], 0
+        for x in texts:
+            group.append(x or "")
+            size += len(group[-1])
+            if size >= at_once:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [self.pieces and not _SPLIT_OK.search(x) for x in texts]
+        split = [x.split(" ") if p else None for x, p in zip(texts, plain, strict=True)]
+        wanted: set[str] = set()
+        for parts in split:
+            if parts:
+                wanted.update(parts[1:])
+        known, last = self.known, self.last
+        wanted = {x for x in wanted if x not in known}
+        marked = [x for x in wanted if x[-1] in _MARKS and x[-2:-1].isalpha() and x not in last]  # a mark after a letter is a pre-token of its own
+        wanted.difference_update(marked)
+        wanted.update(x[:-1] for x in marked)
+        new = []
+        for x in wanted:
+            if x not in known:
+                if x in last:
+                    known[x] = last[x]
+                else:
+                    new.append(x)
+        known.update(zip(new, self._library_pieces(new), strict=True))
+        known.update((x, known[x[:-1]] + self.marks[x[-1]]) for x in marked)
+        whole = [parts[0] if parts else x for x, parts in zip(texts, split, strict=True)]
+        first = self._library(whole)
+        for parts, f in zip(split, first, strict=True):
+            yield f + b"".join(map(known.__getitem__, parts[1:])) + self.end if parts else f + self.end
+        for x in (*new, *marked):
+            if len(x) > self.longest:
+                del known[x]
+        if len(known) > self.keep:
+            self.last, self.known = known, {}
 
 
 def encoder(path: str, end_id: int | None) -> IdEncoder:
