@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 FALLBACK_DIR = "file:///tmp/checkpoints"
 
 
@@ -70,8 +71,9 @@ def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package where neither PYTHONPATH nor the working folder has it, and bounds their Arrow batches.
 
     Spark bounds batches by rows alone unless told otherwise; texts can be long, so a bound in bytes is set where there is none."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**63 - 1))) > BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    now = spark.conf.get(_BATCH_KEY, str(2**31 - 1)).rstrip("bB")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     root = Path(__file__).resolve().parents[2]
     if Path.cwd() == root or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
