@@ -23,7 +23,7 @@ class IdEncoder:
     full, the next begins, and what it asks for is taken over from the last.
     """
 
-    def __init__(self, path: str, end_id: int | None = 2, pieces: bool = True, keep: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, end_id: int | None = 2, pieces: bool = True, keep: int = 600_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -63,7 +63,7 @@ class IdEncoder:
         """Ids of one whole text, with the end id; None counts as empty."""
         return next(iter(self.encode_many([text])))
 
-    def encode_many(self, texts: Iterable[str | None], at_once: int = 1 << 20) -> Iterator[bytes]:
+    def encode_many(self, texts: Iterable[str | None], at_once: int = 1 << 16) -> Iterator[bytes]:
         """encode() of each text, in order; about at_once characters are worked on together."""
         gc.disable()  # nothing here is cyclic, and collections would walk the kept pieces again and again
         group, size = [], 0
