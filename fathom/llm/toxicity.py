@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     """Fits nn_pu on labelled rows that are not held out: P are the texts with toxic = 1; U are all labelled texts, whatever the label.
 
     The class prior is the share of toxic = 1 among those labels. Of either set, about max_positive and max_unlabelled rows
-    are used: rows with the smallest hashes of their ids, the bounds on what the driver receives. Labels without a document, null ids
+    are used: rows with the smallest hashes of their ids. That bounds the list of ids that is broadcast and what the driver receives. Labels without a document, null ids
     and null labels are left out; of repeated labels for an id the larger counts. Without confirmed texts the score is the prior.
     """
     ship(docs.sparkSession)
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     as_p = (F.col("toxic") == 1) & (u < min(1.0, max_positive / max(1, n_p)))
     as_u = u < min(1.0, max_unlabelled / max(1, n))
     chosen = known.select(F.col("doc_id").alias("id"), as_p.alias("p"), as_u.alias("u")).where("p or u")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(chosen, F.col("doc_id") == F.col("id")).select("p", "u", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("p", "u", "text")
 
     def run(batches):
         import pyarrow as pa
