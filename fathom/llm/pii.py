@@ -152,9 +152,11 @@ def annotate(docs: DataFrame, rounds: int = 3, confidence: float = 0.75, min_see
     spans = all_of.where("kind >= 0").select("__row", F.struct("kind", "start", "end", "value").alias("x"), F.lit(True).alias("base"))
     spans = spans.union(new.select("__row", F.struct(F.col("best.as_kind").alias("kind"), "start", "end", "value"), F.lit(False)))
     per = spans.groupBy("__row").agg(F.array_sort(F.collect_list(F.when(F.col("base"), F.col("x")))).alias("__base"), F.array_sort(F.collect_list("x")).alias("__spans")).withColumnRenamed("__row", "__r")
-    out = rows.drop("hits").join(per, F.col("__row") == F.col("__r"), "left")
     none = F.array().cast(_SPAN)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own) if keep_text or c != text_col], F.coalesce("__base", none).alias("__base"), F.coalesce("__spans", none).alias("__spans"))
+    own_cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(own) if keep_text or c != text_col]
+    spare = rows.where(F.size("hits") == 0).select(*own_cols, none.alias("__base"), none.alias("__spans"))  # no match of any pattern: no join
+    out = rows.where(F.size("hits") > 0).drop("hits").join(per.hint("merge"), F.col("__row") == F.col("__r"), "left")
+    return spare.union(out.select(*own_cols, F.coalesce("__base", none).alias("__base"), F.coalesce("__spans", none).alias("__spans")))
 
 
 def _listed(spans: Column) -> Column:
