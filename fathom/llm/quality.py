@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from .common import materialize, ship, whole_text
 
 LABELLERS = ("symbols", "capitals", "repeated_words", "repeated_lines", "bars", "word_length", "sentences", "length")
 ABSTAIN, BAD, GOOD = 0, 1, 2
+_NOT_LETTER, _NOT_CAPITAL = re.compile(r"[\W\d_]+"), re.compile(r"[^A-ZÀ-ÖØ-Þ]+")
 _SYMBOL = re.compile(r"[#$%&*<>=_\\^~|{}@\[\]]|!!|\?\?")
 
 
@@ -24,8 +26,8 @@ def votes(text: str | None) -> tuple[int, ...]:
     n = len(words)
     if not n:
         return (BAD,) + (ABSTAIN,) * 6 + (BAD,)
-    letters = sum(map(str.isalpha, text))
-    upper = sum(map(str.isupper, text))
+    letters = len(_NOT_LETTER.sub("", text))
+    upper = len(_NOT_CAPITAL.sub("", text))
     lines = [x for x in text.split("\n") if x.strip()]
     symbols = len(_SYMBOL.findall(text)) / n
     distinct = len(set(words)) / n ** 0.85
@@ -76,19 +78,23 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
     return model
 
 
-def hashed(text: str | None, bits: int) -> dict[int, float]:
-    """Features of one whole text: word shapes and punctuation pairs as hashed shares, vote-like statistics as buckets."""
+@lru_cache(maxsize=200_000)
+def _shape(word: str) -> str:
+    return re.sub(r"[a-zà-ÿ]+", "a", re.sub(r"[A-ZÀ-Þ]+", "A", re.sub(r"[0-9]+", "9", word)))[:8]
+
+
+def hashed(text: str | None, bits: int, vote: tuple[int, ...]) -> dict[int, float]:
+    """Features of one whole text: hashed shares of word shapes and of repeated words, and its votes."""
     words = (text or "").split()
     mask = (1 << bits) - 1
     times: Counter = Counter()
     for w, c in Counter(words).items():
-        shape = re.sub(r"[a-zà-ÿ]+", "a", re.sub(r"[A-ZÀ-Þ]+", "A", re.sub(r"[0-9]+", "9", w)))[:8]
-        times["s" + shape] += c
+        times[_shape(w)] += c
         if c > 1:
-            times["repeated"] += c
+            times[" repeated"] += c
     out = {zlib.crc32(k.encode()) & mask: math.sqrt(v / len(words)) for k, v in times.items()}
-    for j, v in enumerate(votes(text)):
-        out[zlib.crc32(f"v{j}:{v}".encode()) & mask] = 1.0
+    for j, v in enumerate(vote):
+        out[zlib.crc32(f" v{j}:{v}".encode()) & mask] = 1.0
     return out
 
 
@@ -140,8 +146,9 @@ def score(docs: DataFrame, max_train: int = 5000, bits: int = 18, threshold: flo
         import pyarrow as pa
 
         for batch in batches:
-            got = [hashed(x.as_py(), bits) for x in batch.column(1)]
-            post = [model.posterior(votes(x.as_py())) for x in batch.column(1)]
+            voted = [votes(x.as_py()) for x in batch.column(1)]
+            got = [hashed(x.as_py(), bits, v) for x, v in zip(batch.column(1), voted, strict=True)]
+            post = [model.posterior(v) for v in voted]
             yield pa.RecordBatch.from_arrays([pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.float64())), pa.array(post, pa.float64())], names=["f", "x", "p"])
 
     train = chosen.mapInArrow(extract, "f array<int>, x array<double>, p double").collect()
@@ -151,8 +158,9 @@ def score(docs: DataFrame, max_train: int = 5000, bits: int = 18, threshold: flo
         import pyarrow as pa
 
         for batch in batches:
-            z = [bias + sum(weights.get(f, 0.0) * x for f, x in hashed(t.as_py(), bits).items()) for t in batch.column(1)]
-            post = [model.posterior(votes(t.as_py())) for t in batch.column(1)]
+            voted = [votes(t.as_py()) for t in batch.column(1)]
+            z = [bias + sum(weights.get(f, 0.0) * x for f, x in hashed(t.as_py(), bits, v).items()) for t, v in zip(batch.column(1), voted, strict=True)]
+            post = [model.posterior(v) for v in voted]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in z], pa.float64()), pa.array(post, pa.float64())], names=["doc_id", "score", "weak_posterior"])
 
     out = rows.mapInArrow(run, "doc_id long, score double, weak_posterior double")
