@@ -38,6 +38,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(row, row + len(ids))), pa.array(n), lists], names=["doc_id", "row", "n_tokens", "ids"])
                 row += len(ids)
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, _FILE)
     options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_rows, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": bloom_fpp}
@@ -67,6 +68,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "row", "part", "n_tokens", "ids_crc32"])
 
+    ship(spark)
     rows = read_tokens(spark, path).select("doc_id", "row", "ids", "part").mapInArrow(digest, "doc_id long, row long, part long, n_tokens long, ids_crc32 long")
     totals = read_tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = totals.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))

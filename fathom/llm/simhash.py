@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, whole_text
+from .common import components, materialize, ship, whole_text
 
 _ODD = 0x55555555
 
@@ -39,6 +39,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(x.as_py()) for x in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -139,6 +140,7 @@ def near_links(fps: DataFrame, distance: int = 3, hot: int = 8192, max_hot: int
     fingerprints) / hot entries, and hot grows with the input so that this never exceeds max_hot."""
     if distance > 3:
         raise ValueError("the grid of half vectors is complete for distances up to 3")
+    ship(fps.sparkSession)
     n = fps.count()
     hot = max(hot, -(-2 * n // max_hot))
     rows = cells(fps)
