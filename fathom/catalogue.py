@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import relational
 from .functions import mysql
@@ -340,5 +341,99 @@ def stream_preagg(spark, sf_dir):
     return v.run(v.spec).withColumn("total", F.round("total", 2))
 
 
+@query(_matrix_sql(30, 2))
+def cohort_matrix_month(spark, sf_dir):
+    return cohort.retention_matrix(tables.events(spark, sf_dir), "signup", "purchase", "MONTH", 2)
+
+
+@query(f"SELECT cohort, cohort_size, period, users, users::DOUBLE AS value FROM ({_matrix_sql(7, 4)})")
+def cohort_user_count(spark, sf_dir):
+    return cohort.retention_matrix(tables.events(spark, sf_dir), "signup", "purchase", "WEEK", 4, metric="USER_COUNT")
+
+
+@query(f"SELECT cohort, cohort_size, period, users, coalesce(round(users / nullif(max(users) FILTER (WHERE period = 0) OVER (PARTITION BY cohort), 0), 6), 0) AS value FROM ({_matrix_sql(7, 4)})")
+def cohort_conversion_rate(spark, sf_dir):
+    return cohort.retention_matrix(tables.events(spark, sf_dir), "signup", "purchase", "WEEK", 4, metric="CONVERSION_RATE")
+
+
+def _within(sql: str, condition: str) -> str:
+    return sql.replace("FROM events", f"FROM (SELECT * FROM events WHERE {condition})")
+
+
+@query(" UNION ALL ".join(f"SELECT {half} AS half, * FROM ({_within(_stepwise_sql(['view', 'click', 'purchase'], 12 * HOURS), f'day(ts) % 2 = {half}')})" for half in (0, 1)))
+def funnel_by_dimension(spark, sf_dir):
+    """A funnel for each value of a dimension, in one pass."""
+    df = tables.events(spark, sf_dir).withColumn("half", F.day("ts") % 2)
+    return funnel.funnel_stepwise(df, ["view", "click", "purchase"], 12 * HOURS, by=["half"])
+
+
+@query(
+    f"""WITH a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= {12 * HOURS * 1_000_000} THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a),
+g AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS s1 FROM b), p AS (SELECT event_type || ' => ' || s1 AS path, user_id FROM g WHERE s1 IS NOT NULL)
+SELECT path, count(*) AS count, count(DISTINCT user_id) AS user_count, round(count(*) / (SELECT count(*) FROM p) * 100, 6) AS percentage FROM p GROUP BY path HAVING count(*) >= 3"""
+)
+def path_in_sessions(spark, sf_dir):
+    """Bigrams that do not cross a session's end, with a minimum support."""
+    df = sessions.with_sessions(tables.events(spark, sf_dir), 12 * HOURS)
+    return paths.ngrams(df, 2, None, session="session_id", min_support=3)
+
+
+@query(_session_sql(6 * HOURS))
+def session_refresh(spark, sf_dir):
+    """A session table brought up to date by a batch equals one built anew."""
+    df = tables.events(spark, sf_dir)
+    old, batch = df.where("event_id % 40 <> 7"), df.where("event_id % 40 = 7")
+    s = sessions.refresh(sessions.sessionize(old, 6 * HOURS), old, batch, 6 * HOURS)
+    return s.select("session_id", "user_key", "session_seq", "session_event_count", "duration_secs", F.unix_micros("session_start").alias("start_us"), F.concat_ws(",", "event_sequence").alias("events"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, sf_dir):
+    from .streaming import ingest
+
+    return ingest.windowed_counts(tables.events(spark, sf_dir), "6 hours").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOUR * k AS window_start, event_type, count(*) AS n FROM events CROSS JOIN (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
+def sliding_counts(spark, sf_dir):
+    from .streaming import ingest
+
+    return ingest.windowed_counts(tables.events(spark, sf_dir), "12 hours", "6 hours").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"SELECT user_key, start_us, session_event_count FROM ({_session_sql(6 * HOURS)})")
+def window_sessions(spark, sf_dir):
+    """The streaming form of sessions, over a table."""
+    from .streaming import ingest
+
+    s = ingest.stream_sessions(tables.events(spark, sf_dir), "6 hours")
+    return s.select("user_key", F.unix_micros("session_start").alias("start_us"), "session_event_count")
+
+
+@query("SELECT count(*) FILTER (WHERE event_id % 10 <> 0) AS good, count(*) FILTER (WHERE event_id % 10 = 0) AS dead, sum(CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END)::BIGINT AS total FROM events")
+def dead_letters(spark, sf_dir):
+    """JSON lines of which a tenth is cut short: typed rows to one side, the others kept as they are."""
+    line = F.when(F.col("event_id") % 10 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
+    good, bad = tables.json_lines(tables.events(spark, sf_dir).select(line.alias("value")), T.StructType([T.StructField("k", T.LongType(), False)]))
+    return good.agg(F.count("*").alias("good"), F.sum("k").alias("total")).crossJoin(bad.agg(F.count("*").alias("dead"))).select("good", "dead", "total")
+
+
+def _external(fmt: str, **options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/checkpoints"
+        path = f"{base.rstrip('/')}/external-{fmt}-{uuid.uuid4().hex}"
+        df = tables.read(spark, sf_dir, "customer")
+        df.write.format(fmt).options(**options).save(path)
+        return tables.external(spark, fmt, path, df.schema, **options).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"), F.max("c_acctbal").alias("top"))
+
+    return run
+
+
+for _fmt, _options in (("orc", {}), ("json", {}), ("csv", {"header": "true", "sep": ";"})):
+    QUERIES[f"external_{_fmt}"] = _external(_fmt, **_options)
+    ORACLES[f"external_{_fmt}"] = "SELECT c_mktsegment, count(*) AS n, sum(c_custkey)::BIGINT AS keys, max(c_acctbal) AS top FROM customer GROUP BY 1"
+
+
 for _name in list(QUERIES):
     QUERIES[_name].__name__ = _name
