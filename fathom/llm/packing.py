@@ -35,37 +35,56 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _fit(items: list[tuple[int, list[tuple]]], capacity: int) -> list[tuple[int, list[tuple]]]:
-    """(size, members) items into bins of the same shape; an item's members keep their order and move by the bin's fill."""
-    items = sorted(items, key=lambda x: (-x[0], [(m[0] is not None, m[0] or 0, *m[1:]) for m in x[1]]))
-    bins: dict[int, tuple[int, list[tuple]]] = {}
-    for (size, members), b in zip(items, best_fit([x[0] for x in items], capacity), strict=True):
-        used, own = bins.get(b, (0, []))
-        bins[b] = (used + size, own + [(*m[:5], m[5] + used) for m in members])
-    return list(bins.values())
-
-
-def _frame(bins: list[tuple[int, list[tuple]]], round_no: int, grp: int, capacity: int, slack: int, keep_open: int):
-    """Bins as rows. Of the underfull ones, at most keep_open, the emptiest, stay open for the next round; the others are done."""
+def _members(doc, piece, start, length, crc, offset):
     import pyarrow as pa
 
-    bins = sorted(bins, key=lambda x: x[0])
-    left = keep_open
-    rows = []
-    for k, (used, members) in enumerate(bins):
-        is_open = used < capacity - slack and left > 0
-        left -= is_open
-        rows.append({"bin_id": round_no << 56 | grp << 28 | k, "used": used, "grp": grp, "open": is_open, "members": [dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "offset"), m, strict=True)) for m in members]})
-    schema = pa.schema([("bin_id", pa.int64()), ("used", pa.int32()), ("grp", pa.int64()), ("open", pa.bool_()), ("members", pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])))])
-    return pa.Table.from_pylist(rows, schema=schema)
+    return pa.StructArray.from_arrays([doc, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, offset))], names=["doc_id", "piece", "start", "length", "ids_crc32", "offset"])
+
+
+def _frame(used, ends, members, round_no: int, grp: int, first: int, slack_at: int, keep_open: int):
+    """Bins as a table: bin k has the members before ends[k] that no bin before it has. Of those with less than slack_at ids the keep_open emptiest are open."""
+    import numpy as np
+    import pyarrow as pa
+
+    by = np.argsort(used, kind="stable")
+    by = by[used[by] < slack_at][:keep_open]
+    is_open = np.zeros(len(used), bool)
+    is_open[by] = True
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), members)
+    return pa.table({"bin_id": pa.array(np.arange(len(used)) + (round_no << 56 | grp << 28 | first), pa.int64()), "used": pa.array(used, pa.int32()), "grp": pa.array(np.full(len(used), grp), pa.int64()), "open": pa.array(is_open), "members": lists})
+
+
+def _by_bin(sizes, capacity: int):
+    """Best fit of sizes, in their order: (item numbers by bin, each item's place in its bin, bins' fill, each bin's end among the items)."""
+    import numpy as np
+
+    bins = np.array(best_fit(sizes.tolist(), capacity), np.int64)
+    by = np.argsort(bins, kind="stable")
+    ends = np.cumsum(np.bincount(bins)) if len(bins) else np.empty(0, np.int64)
+    before = np.cumsum(sizes[by]) - sizes[by]
+    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    base = before[begins] if len(ends) else before
+    used = np.add.reduceat(sizes[by], begins) if len(ends) else sizes
+    return by, before - np.repeat(base, np.diff(ends, prepend=0)), used, ends
+
+
+def cut_all(sizes, capacity: int):
+    """(row, piece, start, length) of the pieces of texts of so many ids: full ones, but for the first, which takes the remainder."""
+    import numpy as np
+
+    pieces = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), pieces)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    head = (sizes - 1) % capacity + 1
+    return row, piece, np.where(piece > 0, head[row] + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, head[row])
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: full ones, but for the first, which takes the remainder."""
-    first = n % capacity or capacity
-    yield 0, min(first, n)
-    for start in range(first, n, capacity):
-        yield start, capacity
+    """(start, length) of the pieces of n ids."""
+    import numpy as np
+
+    _, _, start, length = cut_all(np.array([n]), capacity)
+    yield from zip(start.tolist(), length.tolist(), strict=True)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, slack: int = 4, keep_open: int = 1024, fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,43 +92,70 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
 
     Method: each input partition packs its own pieces by best fit, longest first, without a shuffle, and emits bins that are
     within slack of full. The underfull bins, as items, go up a tree: fan_in groups merge into one by best fit until one is
-    left. A group passes on at most keep_open bins, its emptiest, and emits the others as they are, so a task at any level
-    gets at most fan_in * keep_open bins whatever the input's size; nothing is dropped. After best fit at most one bin of
-    a group is under half full, so the bins not passed on could hardly be filled further.
+    left. A group hands its keep_open emptiest bins on and emits its others as they are, so a task at any level gets at most
+    fan_in * keep_open bins. That costs no merge as long as keep_open >= fan_in (checked): after best fit at most one
+    bin of a group is at most half full, and of two bins that go together one is, so a merge joins at most fan_in of them to
+    others, and where one of those has room enough, so has one of the fan_in emptiest. No row is dropped.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null text counts as empty and makes a piece with
     the end id alone. Null ids stay null. Repeated rows are packed each. An empty table gives no rows. Other columns of docs
     are not read, whatever their names. Equal input partitions give equal bins, so a task that runs again changes nothing.
     """
+    if keep_open < fan_in or fan_in < 2:
+        raise ValueError("keep_open must be at least fan_in, and fan_in at least 2")
+    slack_at = capacity - slack
 
     def local(batches):
+        import numpy as np
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        from .tokens import encoder
+        from .tokens import encoder, slices
 
         enc, grp = encoder(tokenizer, end_id), TaskContext.get().partitionId()
-        items, whole, n_whole = [], [], 0
+        kept, n_whole = [], 0
         for batch in batches:
-            for doc, coded in zip(batch.column(0).to_pylist(), enc.encode_many(x.as_py() for x in batch.column(1)), strict=True):
-                ids = memoryview(coded)
-                for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    m = (doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), 0)
-                    (whole if length == capacity else items).append((length, [m]))
-            if len(whole) >= 5000:
-                t = _frame(whole, 1, grp, capacity, slack, 0)
-                yield from t.set_column(0, "bin_id", _ids(t, 1 << 56 | grp << 28 | n_whole)).to_batches()
-                n_whole, whole = n_whole + len(whole), []
-        if whole:
-            t = _frame(whole, 1, grp, capacity, slack, 0)
-            yield from t.set_column(0, "bin_id", _ids(t, 1 << 56 | grp << 28 | n_whole)).to_batches()
-        if items:
-            yield from _frame(_fit(items, capacity), 2, grp, capacity, slack, keep_open).to_batches(max_chunksize=5000)
+            for at, texts in slices(batch.column(1)):
+                ids, ends = enc.encode_batch(texts)
+                sizes = np.diff(ends, prepend=0)
+                row, piece, start, length = cut_all(sizes, capacity)
+                begin = (ends - sizes)[row] + start
+                view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = np.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)], np.int64)
+                doc = batch.column(0).slice(at, len(texts)).take(pa.array(row))
+                whole = length == capacity
+                if n := int(whole.sum()):
+                    members = _members(doc.filter(pa.array(whole)), piece[whole], start[whole], length[whole], crc[whole], np.zeros(n, np.int64))
+                    yield from _frame(length[whole], np.arange(1, n + 1), members, 1, grp, n_whole, slack_at, 0).to_batches()
+                    n_whole += n
+                kept.append((doc.filter(pa.array(~whole)), *(x[~whole] for x in (piece, start, length, crc))))
+        if not kept:
+            return
+        doc = pa.concat_arrays([x[0] for x in kept])
+        piece, start, length, crc = (np.concatenate([x[i] for x in kept]) for i in range(1, 5))
+        order = np.lexsort((crc, start, piece, doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False), -length))
+        by, offset, used, ends = _by_bin(length[order], capacity)
+        by = order[by]
+        for t in _frame(used, ends, _members(doc.take(pa.array(by)), piece[by], start[by], length[by], crc[by], offset), 2, grp, 0, slack_at, keep_open).to_batches(max_chunksize=5000):
+            yield t
 
     def merge(round_no: int):
         def run(key, t):
-            grp = key[0].as_py()
-            items = [(x["used"], [tuple(m.values()) for m in x["members"]]) for x in t.select(["used", "members"]).to_pylist()]
-            return _frame(_fit(items, capacity), round_no, grp, capacity, slack, keep_open)
+            import numpy as np
+            import pyarrow as pa
+
+            t = t.sort_by([("used", "descending"), ("bin_id", "ascending")]).combine_chunks()
+            size = t.column("used").to_numpy().astype(np.int64)
+            lists = t.column("members").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            first, count = lists.offsets.to_numpy()[:-1].astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            by, offset, used, ends = _by_bin(size, capacity)
+            upto = np.cumsum(count[by])
+            at = np.repeat(first[by] - upto + count[by], count[by]) + np.arange(int(upto[-1]) if len(upto) else 0)
+            flat = lists.values.take(pa.array(at))
+            old = [flat.field(i) for i in range(6)]
+            members = _members(old[0], *old[1:5], old[5].to_numpy() + np.repeat(offset, count[by]))
+            return _frame(used, upto[ends - 1] if len(ends) else ends, members, round_no, key[0].as_py(), 0, slack_at, keep_open)
 
         return run
 
@@ -131,10 +177,3 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     for d in done:
         out = out.union(d)
     return out.select("bin_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", F.col("bin_id").alias("sequence_id"), "m.offset")
-
-
-def _ids(table, first: int):
-    import pyarrow as pa
-
-    return pa.array(range(first, first + table.num_rows), pa.int64())
-
