@@ -12,39 +12,48 @@ from .common import scratch, ship, whole_text
 _FILE = "doc_id long, row long, n_tokens int, ids array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, stripe_bytes: int = 64 << 20, index_rows: int = 1000, bloom_fpp: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes every document's ids, end id included, to ORC files in ascending doc_id order (nulls first, equal ids by text).
-
-    The texts are range-partitioned by id and sorted before they are encoded, so Spark's sampling of the ranges encodes
-    nothing, and file part-k holds lower ids than part-k+1. ORC stores ids, counts and row numbers run-length encoded; each
-    stripe has a row index every index_rows rows and a Bloom filter on doc_id, so a reader prunes stripes by min/max or id,
-    and stripes are read in parallel. Columns: doc_id, row (position in its file), n_tokens, ids. Null text counts as empty.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_bytes: int = 64 << 20, stripe_bytes: int = 64 << 20, index_rows: int = 1000, bloom_fpp: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes every document's ids, end id included, to ORC files in ascending doc_id order (nulls first; rows of an id in a fixed order).
+
+    The texts are range-partitioned by (id, hash of the text, row number) and sorted before they are encoded, so Spark's
+    sampling of the ranges encodes nothing, and no file's rows have greater ids than the next file's. There is a range for every file_bytes
+    of input, so ranges don't grow with the input; as the hash and the row number take part, rows of one id, also many equal ones or a mass
+    without ids, are split like others. ORC stores ids, counts and row numbers run-length encoded; each stripe has a row index every
+    index_rows rows and a Bloom filter on doc_id, so a reader prunes stripes by min/max or id, and stripes are read in parallel. Columns:
+    doc_id, row (position in its file), n_tokens, ids. Null text counts as empty; other columns are not read.
     """
 
     def encode(batches):
         import numpy as np
         import pyarrow as pa
 
-        from .tokens import encoder
+        from .tokens import encoder, slices
 
         enc, row = encoder(tokenizer, end_id), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = list(enc.encode_many(x.as_py() for x in part.column(1)))
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int32)]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(row, row + len(ids))), pa.array(n), lists], names=["doc_id", "row", "n_tokens", "ids"])
-                row += len(ids)
+            for at, texts in slices(batch.column(1)):
+                ids, ends = enc.encode_batch(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(np.arange(row, row + len(texts))), pa.array(np.diff(ends, prepend=0), pa.int32()), lists], names=["doc_id", "row", "n_tokens", "ids"])
+                row += len(texts)
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, _FILE)
+    key = ("doc_id", "h", "n")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(ranges(docs, file_bytes), *key).sortWithinPartitions(*key).select("doc_id", "text").mapInArrow(encode, _FILE)
     options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_rows, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": bloom_fpp}
     rows.write.options(**options).orc(path)
 
 
+def ranges(docs: DataFrame, file_bytes: int) -> int:
+    """One for every file_bytes of the optimizer's estimate, which is the files' size for a table; where it knows none, as many as docs has
+    partitions. A shuffle's usual number at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes) if known else docs.rdd.getNumPartitions())
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows, with the number of the file: doc_id, row, n_tokens, ids, part. Filters on doc_id prune stripes."""
     df = spark.read.schema(_FILE).option("pathGlobFilter", "*.orc").orc(path)
