@@ -124,8 +124,9 @@ def score(docs: DataFrame, max_train: int = 5000, bits: int = 18, threshold: flo
     """doc_id, score (0 to 1, higher: better), predicted (1 if score >= threshold), weak_posterior of every whole text.
 
     All texts vote; counts of vote patterns over the whole corpus go to expectation-maximisation. The scorer is fitted on the
-    posteriors of about max_train texts, those with the smallest hashes. Null text counts as empty; repeated rows each have a row; an
-    empty table gives no rows; other columns are not read."""
+    posteriors of at most max_train texts, those with the smallest hashes of id and text; equal rows count once there, so null and repeated ids
+    neither crowd the others out nor reach the driver in a mass. Null text counts as empty; repeated rows each have a row; an empty
+    table gives no rows; other columns are not read."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
 
@@ -139,8 +140,10 @@ def score(docs: DataFrame, max_train: int = 5000, bits: int = 18, threshold: flo
     voted = materialize(rows.mapInArrow(vote, "doc_id long, pattern string"), "votes")
     patterns = {tuple(map(int, r.pattern)): r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     model = expectation_maximisation(patterns) if patterns else LabelModel(tuple(((1 / 3,) * 3,) * 2 for _ in LABELLERS), 0.5)
-    share = min(1.0, max_train / max(1, sum(patterns.values())))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    n = sum(patterns.values())
+    hashed_rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / (1 << 40))
+    near = hashed_rows.where(F.col("u") < F.lit(1.2 * max_train / n)) if n > max_train else hashed_rows
+    chosen = near.groupBy("u").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text")).orderBy("u").limit(max_train).select("doc_id", "text")
 
     def extract(batches):
         import pyarrow as pa

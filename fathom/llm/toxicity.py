@@ -51,12 +51,32 @@ class Model:
         return self.bias + sum(weights.get(4 * f + level, 0.0) for f, n in sorted(times.items()) for level in range(1, min(n, 3) + 1))
 
 
-def nn_pu(positive: list, unlabelled: list, prior: float, bits: int, top: int = 512, min_docs: int = 2, rounds: int = 600, rate: float = 0.1, ridge: float = 2e-3) -> Model:
+def risk(gp, gu, share, prior: float) -> tuple[float, float]:
+    """(positive, negative) part of the PU risk with the logistic loss: gp are the scores of confirmed texts, gu those of unlabelled ones with their shares.
+
+    positive = pi * E_P[l(g)], negative = E_U[l(-g)] - pi * E_P[l(-g)]; the non-negative risk is positive + max(0, negative)."""
+    import numpy as np
+
+    return prior * float(np.mean(np.logaddexp(0, -gp))), float(share @ np.logaddexp(0, gu)) - prior * float(np.mean(np.logaddexp(0, gp)))
+
+
+def gradients(w, b, xp, xu, share, prior: float) -> tuple:
+    """Gradients of the two parts of the risk by (weights, bias): (positive, negative)."""
+    import numpy as np
+
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    gp, gu = sig(xp @ w + b), sig(xu @ w + b)
+    positive = (-prior * xp.T @ (1 - gp) / len(xp), -prior * float((1 - gp).mean()))
+    return positive, (xu.T @ (share * gu) - prior * xp.T @ gp / len(xp), float(share @ gu - prior * gp.mean()))
+
+
+def nn_pu(positive: list, unlabelled: list, prior: float, bits: int, top: int = 256, min_docs: int = 2, rounds: int = 600, rate: float = 0.1, ridge: float = 2e-2) -> Model:
     """Minimises the non-negative PU risk  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the logistic loss.
 
     positive, unlabelled: arrays of feature numbers, one per text. Only the `top` features whose rate among positives most
     exceeds the rate that the class prior lets negatives have take part; with few confirmed texts, the others would
-    only add noise. Where the negative risk turns below zero, the step goes back along its gradient, as the estimator asks.
+    only add noise. A feature that negatives lack is prior times as frequent among unlabelled texts as among positives, and others more so: the median of that
+    ratio over the 64 strongest features takes the prior's place where it is smaller. Where the negative risk turns below zero, the step goes back along its gradient, as the estimator asks.
     """
     import numpy as np
 
@@ -75,25 +95,30 @@ def nn_pu(positive: list, unlabelled: list, prior: float, bits: int, top: int =
     if not len(chosen):
         return Model({}, float(np.log(max(prior, 1e-4) / (1 - prior))), bits)
 
+    best = np.argsort(-gain, kind="stable")[:64]
+    best = best[gain[best] > 0]
+    prior = float(min(prior, max(1e-3, np.median(df_u[best] / n_u / (df_p[best] / n_p)))))
+
     def dense(rows):
-        x = np.zeros((len(rows), len(chosen)))
+        """Rows as bits of the chosen features, packed; equal rows once, with their shares."""
+        x = np.zeros((len(rows), len(chosen)), bool)
         for i, r in enumerate(rows):
             at = np.searchsorted(chosen, r := np.asarray(r))
-            x[i, at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == r)]] = 1
-        return x
-
-    xp, xu = dense(positive), dense(unlabelled)
-    xu, times = np.unique(xu, axis=0, return_counts=True)
-    share = times / n_u
+            x[i, at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == r)]] = True
+        x = np.packbits(x, axis=1)
+        _, first, times = np.unique(x.view(f"V{x.shape[1]}").ravel(), return_index=True, return_counts=True)
+        return np.unpackbits(x[first], axis=1, count=len(chosen)).astype(np.float64), times / len(rows)
+
+    xp = np.zeros((n_p, len(chosen)))
+    for i, r in enumerate(positive):
+        xp[i, np.isin(chosen, r)] = 1
+    xu, share = dense(unlabelled)
     w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, rounds + 1):
-        gp, gu = sig(xp @ w + b), sig(xu @ w + b)
-        negative = share @ np.log1p(np.exp(np.clip(xu @ w + b, -30, 30))) - prior * np.mean(np.log1p(np.exp(np.clip(xp @ w + b, -30, 30))))
-        grad_neg, grad_neg_b = xu.T @ (share * gu) - prior * xp.T @ gp / n_p, share @ gu - prior * gp.mean()
-        grad_pos, grad_pos_b = -prior * xp.T @ (1 - gp) / n_p, -prior * (1 - gp).mean()
-        g, gb = (grad_pos + grad_neg, grad_pos_b + grad_neg_b) if negative >= 0 else (-grad_neg, -grad_neg_b)
+        (gp, gp_b), (gn, gn_b) = gradients(w, b, xp, xu, share, prior)
+        negative = risk(xp @ w + b, xu @ w + b, share, prior)[1]
+        g, gb = (gp + gn, gp_b + gn_b) if negative >= 0 else (-gn, -gn_b)
         g = g + ridge * prior * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -108,43 +133,50 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _some(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """At most `most` of about n rows (u, text): those with the smallest u, each u once. u is a hash, so of equal rows one takes part."""
+    near = rows.where(F.col("u") < F.lit(min(1.0, 1.2 * most / max(1, n)))) if n > most else rows
+    return near.groupBy("u").agg(F.min("text").alias("text")).orderBy("u").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 12000, bits: int = 18) -> Model:
-    """Fits nn_pu on labelled rows that are not held out: P are the texts with toxic = 1; U are all labelled texts, whatever the label.
+    """Fits nn_pu: P are the documents with a label toxic = 1, U are documents of all kinds, labelled or not; neither holds one that is held out.
 
-    The class prior is the share of toxic = 1 among those labels. Of either set, about max_positive and max_unlabelled rows
-    are used: rows with the smallest hashes of their ids. That bounds the list of ids that is broadcast and what the driver receives. Labels without a document, null ids
-    and null labels are left out; of repeated labels for an id the larger counts. Without confirmed texts the score is the prior.
+    The class prior is the share of toxic = 1 among the labels that are not held out. At most max_positive and max_unlabelled texts are
+    used, those with the smallest hashes of id and text: that bounds what the driver receives, also where ids are null or repeated. Equal rows
+    count once. Labels without a document, null ids and null labels are left out; of repeated labels for an id the larger counts. Other
+    columns of docs and labels are not read, whatever their names. Without confirmed texts, as from empty tables, the score is the prior.
     """
     ship(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     n, n_p = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     prior = min(0.9, max(n_p / n, 1e-3)) if n else 1e-3
-    u = F.pmod(F.xxhash64(F.lit("pu"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    as_p = (F.col("toxic") == 1) & (u < min(1.0, max_positive / max(1, n_p)))
-    as_u = u < min(1.0, max_unlabelled / max(1, n))
-    chosen = known.select(F.col("doc_id").alias("id"), as_p.alias("p"), as_u.alias("u")).where("p or u")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("p", "u", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where(~held_out())
+    rows = rows.withColumn("u", F.pmod(F.xxhash64(F.lit("pu"), "doc_id", "text"), F.lit(1 << 40)) / (1 << 40))
+    # by id first: the list that is broadcast is bounded, whatever the number of labels
+    ids = known.where("toxic = 1").orderBy(F.xxhash64(F.lit("pu"), "id"), "id").limit(max_positive).select("id")
+    confirmed = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi").groupBy("u").agg(F.min("text").alias("text")).orderBy("u").limit(max_positive)
+    every = _some(rows.select("u", "text"), rows.count(), max_unlabelled)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = [sorted(features(x.as_py(), bits)) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], names=["p", "u", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x.as_py(), bits)) for x in batch.column(0)], pa.list_(pa.int32()))], names=["f"])
+
+    def sets(of: DataFrame) -> list:
+        f = of.select("text").mapInArrow(run, "f array<int>").toArrow().column("f")
+        return [np.asarray(x.values, dtype=np.int32) for part in f.chunks for x in part]
 
-    rows = texts.mapInArrow(run, "p boolean, u boolean, f array<int>").toArrow()
-    f = rows.column("f").combine_chunks()
-    if f.__class__.__name__ == "ChunkedArray":
-        f = f.chunk(0) if f.num_chunks else []
     import numpy as np
 
-    sets = [np.asarray(x.values, dtype=np.int32) if x.values is not None else np.empty(0, np.int32) for x in f]
-    p, un = rows.column("p").to_pylist(), rows.column("u").to_pylist()
-    return nn_pu([x for x, y in zip(sets, p, strict=True) if y], [x for x, y in zip(sets, un, strict=True) if y], prior, bits)
+    return nn_pu(sets(confirmed), sets(every), prior, bits)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold) of every whole text; null text counts as empty."""
+    """doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold) of every whole text.
+
+    Null text counts as empty; a null id is not held out; repeated rows each have a row; an empty table gives none; other columns are not read."""
     ship(docs.sparkSession)
 
     def run(batches):
