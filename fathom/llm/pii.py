@@ -21,14 +21,23 @@ CARD = rf"[0-9{_JOIN}]{{2,}}+"
 PHONE = r"\+[0-9][ ().0-9\-]+[0-9]"
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 _HIT = "array<struct<kind:int,i:int,gap:bigint,left:string,value:string,right:string>>"
-_SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
+_SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string,done:bigint>>"
+_CHUNK = 1024
 _TOKEN_KIND = 9
 
 
+_WHITE = r"\x20\x09-\x0D"
+#: Of what follows a match: the rest of its own word and the next word. Of what comes before, backwards: what is no letter or digit, and two words.
+_AFTER = rf"^[^{_WHITE}]*+[{_WHITE}]++[^{_WHITE}]++"
+_BEFORE = rf"^[^{_WHITE}\p{{L}}\p{{N}}]*+[{_WHITE}]++[^{_WHITE}]++(?:[{_WHITE}]++[^{_WHITE}]++)?+"
+
+
 def _hits(text: Column, pattern: str, kind: int) -> Column:
-    """The non-overlapping matches of a pattern, each with the length and the end of what precedes it and the beginning of what follows."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).cast("bigint").alias("n"), F.left(g, F.lit(40)).alias("head"), F.right(g, F.lit(40)).alias("tail")))
+    """The non-overlapping matches of a pattern, each with the length and the last two words of what precedes it and the first word of what follows, of any length."""
+    context = lambda g: F.struct(F.length(g).cast("bigint").alias("n"), F.regexp_extract(g, _AFTER, 0).alias("head"), F.reverse(F.regexp_extract(F.reverse(g), _BEFORE, 0)).alias("tail"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # without a match there is no context to look at
+    gaps = F.when(F.rlike(text, F.lit(pattern)), F.transform(F.split(text, pattern, -1), context)).otherwise(F.array())
     rows = F.filter(F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("g"), v.alias("v"))), lambda x: x["v"].isNotNull())
     rows = F.zip_with(rows, F.transform(F.slice(gaps, F.lit(2), F.size(gaps)), lambda g: g["head"]), lambda x, head: F.struct(x["g"].alias("g"), x["v"].alias("v"), head.alias("head")))
     return F.transform(rows, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["g"]["n"].alias("gap"), x["g"]["tail"].alias("left"), x["v"].alias("value"), x["head"].alias("right"))).cast(_HIT)
@@ -77,7 +86,7 @@ def _shape(value: Column) -> Column:
 
 
 def _word(x: Column) -> Column:
-    return F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}=:]+|[^\p{L}\p{N}=:]+$", ""))
+    return F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}=:]++|(?<=[\p{L}\p{N}=:])[^\p{L}\p{N}=:]++$", ""))
 
 
 def mentions(found: DataFrame) -> DataFrame:
@@ -90,7 +99,7 @@ def mentions(found: DataFrame) -> DataFrame:
     before = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("__row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.length("value")
     h = h.withColumn("start", before)
     token = F.col("kind") == _TOKEN_KIND
-    core = F.regexp_replace("value", r"^[^\p{L}\p{N}+]++|[^\p{L}\p{N}]++$", "")
+    core = F.regexp_replace("value", r"^[^\p{L}\p{N}]++$|^[^\p{L}\p{N}+]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
     lead = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}+]*+", 0))
     h = h.withColumn("start", F.when(token, F.col("start") + lead).otherwise(F.col("start"))).withColumn("value", F.when(token, core).when(F.col("kind") == 0, F.translate("value", _JOIN, ".")).otherwise(F.col("value")))
     h = h.withColumn("end", F.col("start") + F.length("value")).withColumn("digits", F.regexp_replace("value", "[^0-9]", ""))
@@ -100,13 +109,14 @@ def mentions(found: DataFrame) -> DataFrame:
     base = F.col("kind") != _TOKEN_KIND
     order = Window.partitionBy("__row").orderBy("start")
     ends = F.max(F.when(base, F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    starts = F.min(F.when(base, F.col("start"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+    # from the end backwards: a frame that only grows is one pass over a text's matches, a frame that shrinks is one for each
+    starts = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("__row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
     h = h.withColumn("ends", ends).withColumn("starts", starts)
     h = h.where(base | ~(F.coalesce(F.col("ends") > F.col("start"), F.lit(False)) | F.coalesce(F.col("starts") < F.col("end"), F.lit(False))))
-    gap = r"[\x20\x09-\x0D]+[^\x20\x09-\x0D\p{L}\p{N}]*$"
-    w1 = _word(F.regexp_extract("left", rf"([^\x20\x09-\x0D]+){gap}", 1))
-    w2 = F.lower(F.regexp_extract("left", rf"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){gap}", 1))
-    w3 = _word(F.regexp_extract("right", r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)", 1))
+    edge = rf"[{_WHITE}]++[^{_WHITE}\p{{L}}\p{{N}}]*+$"
+    w1 = _word(F.regexp_extract("left", rf"(?:^|[{_WHITE}])([^{_WHITE}]++){edge}", 1))
+    w2 = F.lower(F.regexp_extract("left", rf"^([^{_WHITE}]++[{_WHITE}]++[^{_WHITE}]++){edge}", 1))
+    w3 = _word(F.regexp_extract("right", rf"^[^{_WHITE}]*+[{_WHITE}]++([^{_WHITE}]++)", 1))
     kind = F.when(base, F.col("kind")).otherwise(-1)
     return h.select("__row", kind.alias("kind"), "start", "end", "value", _shape(F.col("value")).alias("shape"), w1.alias("w1"), w2.alias("w2"), w3.alias("w3"))
 
@@ -118,7 +128,8 @@ def _patterns(m: DataFrame) -> DataFrame:
 
 
 def annotate(docs: DataFrame, rounds: int = 3, confidence: float = 0.75, min_seeds: int = 3, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with two more columns: __base and __spans, arrays of (kind, start, end, value) - the base spans, and all spans.
+    """docs with two more columns: __base and __spans, arrays of (kind, start, end, value, done) - the base spans, and all spans; done is
+    where the spans that begin before have ended.
 
     Bootstrapping: base spans are the seeds. Every mention (seed or other identifier-like token) gives lexical patterns from its shape and
     the words around it. Over the graph of patterns and instances, with counts as weights, scores spread in rounds: a
@@ -147,10 +158,14 @@ def annotate(docs: DataFrame, rounds: int = 3, confidence: float = 0.75, min_see
         if r < rounds - 1:
             gained = fresh.join(conf, "pattern").groupBy("instance", "kind").agg((F.max("confidence") * 0.9 ** (r + 1)).alias("score"))
             score = edges.where("kind >= 0").groupBy("instance", "kind").agg(F.lit(1.0).alias("score")).union(gained).groupBy("instance", "kind").agg(F.max("score").alias("score"))
+            score = materialize(score, "pii_scores")  # a written side, not an aggregate: Spark may split the edges of a frequent instance
     strong = conf.where(F.col("confidence") >= confidence).groupBy("pattern").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best")).select("pattern", F.col("best.confidence").alias("confidence"), (-F.col("best.k")).alias("as_kind"))
+    strong = materialize(strong, "pii_strong")  # likewise for the mentions of a frequent pattern
     new = m.where("kind < 0").join(strong, "pattern").groupBy("__row", "start", "end", "value").agg(F.max(F.struct("confidence", "as_kind")).alias("best"))
     spans = all_of.where("kind >= 0").select("__row", F.struct("kind", "start", "end", "value").alias("x"), F.lit(True).alias("base"))
     spans = spans.union(new.select("__row", F.struct(F.col("best.as_kind").alias("kind"), "start", "end", "value"), F.lit(False)))
+    earlier = Window.partitionBy("__row").orderBy("x.start", "x.end", "x.kind").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("done", F.coalesce(F.max("x.end").over(earlier), F.lit(0).cast("bigint"))).select("__row", F.struct("x.*", "done").alias("x"), "base")
     per = spans.groupBy("__row").agg(F.array_sort(F.collect_list(F.when(F.col("base"), F.col("x")))).alias("__base"), F.array_sort(F.collect_list("x")).alias("__spans")).withColumnRenamed("__row", "__r")
     none = F.array().cast(_SPAN)
     own_cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(own) if keep_text or c != text_col]
@@ -172,15 +187,26 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     return found.select("doc_id", *count, F.sha2(_listed(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("__spans")).alias("spans"))
 
 
+def _cut(chunks: Column, a: Column, b: Column) -> Column:
+    """Characters a to b (end exclusive) of a text given as chunks of _CHUNK characters: only the chunks that they lie in are looked at."""
+    i, j = F.floor(a / _CHUNK).cast("int"), F.floor((b - 1) / _CHUNK).cast("int")
+    head = F.substring(F.element_at(chunks, i + 1), (a - i * _CHUNK + 1).cast("int"), F.when(i == j, (b - a).cast("int")).otherwise(_CHUNK))
+    rest = F.concat(F.array_join(F.slice(chunks, i + 2, j - i - 1), ""), F.substring(F.element_at(chunks, j + 1), F.lit(1), (b - j * _CHUNK).cast("int")))
+    return F.when(b <= a, "").when(i == j, head).otherwise(F.concat(head, rest))
+
+
 def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with every span's text replaced by its kind in brackets; overlapping spans become one after the other, so nothing of either stays. Null text stays null."""
+    """docs with every span's text replaced by its kind in brackets; overlapping spans become one after the other, so nothing of either stays.
+
+    Time is linear in a text's length and spans: the text is cut into chunks once, and a span costs a chunk. Null text stays null, texts
+    without spans stay as they are; repeated rows each have a row; an empty table gives none."""
     own = docs.columns
     found = annotate(docs, text_col=text_col, **options)
     text, tags = F.col(f"`{text_col}`"), F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    s = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    found = found.withColumn("__s", s)
-    done = lambda i: F.coalesce(F.array_max(F.slice(F.transform("__s", lambda x: x["end"]), F.lit(1), i)), F.lit(0).cast("bigint"))
-    piece = lambda x, i: F.concat(F.when(x["start"] > done(i), F.substring(text, (done(i) + 1).cast("int"), (x["start"] - done(i)).cast("int"))).otherwise(""), F.when(x["end"] > done(i), F.element_at(tags, x["kind"] + 1)).otherwise(""))
-    tail = F.substring(text, (F.array_max(F.transform("__s", lambda x: x["end"])) + 1).cast("int"), F.length(text))
+    found = found.withColumn("__s", F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["done"].alias("done")))))
+    found = found.withColumn("__chunks", F.when(F.size("__s") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
+    chunks = F.col("__chunks")
+    piece = lambda x: F.concat(_cut(chunks, x["done"], x["start"]), F.when(x["end"] > x["done"], F.element_at(tags, x["kind"] + 1)).otherwise(""))
+    tail = _cut(chunks, F.array_max(F.transform("__s", lambda x: x["end"])), F.length(text).cast("bigint"))
     clean = F.when((F.size("__s") == 0) | text.isNull(), text).otherwise(F.concat(F.array_join(F.transform("__s", piece), ""), tail))
     return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in own])
