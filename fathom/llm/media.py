@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -55,13 +56,84 @@ def wav_payload(media: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
-def _png(b, at: int) -> int:
+class Marks:
+    """Where the end markers of one media value are, each looked for once, so that many signatures do not mean many searches."""
+
+    def __init__(self, b: bytes):
+        self.b = b
+        self.places: dict[bytes, list[int]] = {}
+        self.members: dict[int, int] = {}  # where deflated data begins -> where it ends, 0 if it isn't whole
+        self.pages: set[int] = set()
+        self.directories: dict[int, int] | None = None
+        self.nul: dict[int, tuple[int, int]] = {}
+
+    def all(self, mark: bytes) -> list[int]:
+        if mark not in self.places:
+            at, out = self.b.find(mark), []
+            while at >= 0:
+                out.append(at)
+                at = self.b.find(mark, at + 1)
+            self.places[mark] = out
+        return self.places[mark]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from `at` on; -1 without."""
+        own = self.all(mark)
+        k = bisect_left(own, at)
+        return own[k] if k < len(own) else -1
+
+    def next_nul(self, at: int, field: int) -> int:
+        """The first zero byte from `at` on, the length without one; for each header field, as places rise, the bytes are looked at once."""
+        begin, found = self.nul.get(field, (1, 0))
+        if not begin <= at <= found:
+            found = self.b.find(b"\0", at)
+            found = len(self.b) if found < 0 else found
+            self.nul[field] = at, found
+        return found
+
+    def inflated(self, at: int) -> int:
+        """Where a gzip member whose deflated data begins at `at` ends, its checksum and size confirmed; 0 if they are wrong. A megabyte at a
+        time is held, whatever the data unpack to; each place is unpacked once."""
+        if at not in self.members:
+            d, crc, size, fed, step, end = zlib.decompressobj(-15), 0, 0, at, 1 << 16, 0
+            try:
+                while not d.eof:
+                    data = d.unconsumed_tail
+                    if not data:
+                        data = self.b[fed : fed + step]
+                        fed += len(data)
+                        if not data:
+                            break
+                    out = d.decompress(data, 1 << 20)
+                    crc, size = zlib.crc32(out, crc), size + len(out)
+                if d.eof:
+                    end = fed - len(d.unused_data)
+                    end = end + 8 if self.b[end : end + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF) else 0
+            except zlib.error:
+                end = 0
+            self.members[at] = end
+        return self.members[at]
+
+    def archive(self, at: int) -> int:
+        """Where a zip archive that begins at `at` ends: by a directory end whose size and offset lead back to there; 0 without."""
+        if self.directories is None:
+            self.directories = {}
+            for e in self.all(b"PK\x05\x06"):
+                if e + 22 <= len(self.b):
+                    size, offset, note = struct.unpack_from("<IIH", self.b, e + 12)
+                    end = e + 22 + note
+                    if end <= len(self.b) and e - size - offset >= 0 and (not size or self.b[e - size : e - size + 4] == b"PK\x01\x02"):
+                        self.directories.setdefault(e - size - offset, end)
+        return self.directories.get(at, 0)
+
+
+def _png(b, at: int, marks: Marks) -> int:
     """Length up to IEND; every chunk's checksum must hold."""
     start, at, first = at, at + 8, True
     while at + 12 <= len(b):
         size, name = struct.unpack_from(">I4s", b, at)
         end = at + 12 + size
-        if end > len(b) or (first and name != b"IHDR") or zlib.crc32(b[at + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+        if end > len(b) or (first and (name != b"IHDR" or size != 13)) or zlib.crc32(b[at + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
             return 0
         if name == b"IEND":
             return end - start
@@ -69,7 +141,7 @@ def _png(b, at: int) -> int:
     return 0
 
 
-def _jpeg(b, at: int) -> int:
+def _jpeg(b, at: int, marks: Marks) -> int:
     """Walks the segments to start-of-scan, then looks for the end marker."""
     start, at = at, at + 2
     while at + 4 <= len(b) and b[at] == 0xFF:
@@ -78,12 +150,12 @@ def _jpeg(b, at: int) -> int:
             return 0
         at += 2 + size
         if mark == 0xDA:
-            end = bytes(b).find(b"\xff\xd9", at)
+            end = marks.after(b"\xff\xd9", at)
             return end + 2 - start if end >= 0 else 0
     return 0
 
 
-def _gif(b, at: int) -> int:
+def _gif(b, at: int, marks: Marks) -> int:
     """Walks colour tables, blocks and sub-blocks to the trailer."""
     start, end = at, len(b)
     if at + 13 > end:
@@ -105,23 +177,23 @@ def _gif(b, at: int) -> int:
     return 0
 
 
-def _bmp(b, at: int) -> int:
+def _bmp(b, at: int, marks: Marks) -> int:
     if at + 54 > len(b):
         return 0
     size, zero, data, header = struct.unpack_from("<IIII", b, at + 2)
     return size if zero == 0 and header in (12, 40, 108, 124) and 26 <= data < size <= len(b) - at else 0
 
 
-def _riff(b, at: int) -> int:
-    if at < 0 or at + 12 > len(b) or bytes(b[at : at + 4]) != b"RIFF":
+def _riff(b, at: int, marks: Marks) -> int:
+    if at < 0 or at + 12 > len(b) or b[at : at + 4] != b"RIFF":
         return 0
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
     return size if 12 <= size <= len(b) - at else 0
 
 
-def _wav(b, at: int) -> int:
+def _wav(b, at: int, marks: Marks) -> int:
     """RIFF with a fmt chunk before its data chunk, both inside."""
-    size, pos, fmt = _riff(b, at), at + 12, False
+    size, pos, fmt = _riff(b, at, marks), at + 12, False
     while size and pos + 8 <= at + size:
         name, n = struct.unpack_from("<4sI", b, pos)
         if pos + 8 + n > at + size:
@@ -133,40 +205,53 @@ def _wav(b, at: int) -> int:
     return 0
 
 
-def _flac(b, at: int) -> int:
+def _flac(b, at: int, marks: Marks) -> int:
     """A stream-info block of 34 bytes must come first; the length is what remains."""
-    return len(b) - at if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and bytes(b[at + 5 : at + 8]) == b"\0\0\x22" else 0
+    return len(b) - at if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else 0
 
 
-def _ogg(b, at: int) -> int:
-    """Pages that follow one another, up to the last."""
+def _ogg(b, at: int, marks: Marks) -> int:
+    """Pages that follow one another, up to the last; a page of a stream that began before is none of its own."""
     start = at
-    while at + 27 <= len(b) and bytes(b[at : at + 4]) == b"OggS" and b[at + 4] == 0:
+    while at not in marks.pages and at + 27 <= len(b) and b[at : at + 4] == b"OggS" and b[at + 4] == 0:
         n = b[at + 26]
         end = at + 27 + n + sum(b[at + 27 : at + 27 + n])
         if end > len(b):
             break
+        marks.pages.add(at)
         at = end
     return at - start
 
 
-def _pdf(b, at: int) -> int:
-    end = bytes(b).find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and bytes(b[at + 5 : at + 6]).isdigit() else 0
+def _pdf(b, at: int, marks: Marks) -> int:
+    """Up to the last end mark before the next file's header: a file that was saved again has one for each time."""
+    if not b[at + 5 : at + 6].isdigit():
+        return 0
+    ends, other = marks.all(b"%%EOF"), marks.after(b"%PDF-", at + 5)
+    k = (bisect_left(ends, other) if other >= 0 else len(ends)) - 1
+    return ends[k] + 5 - at if k >= 0 and ends[k] > at else 0
 
 
-def _zip(b, at: int) -> int:
-    end = bytes(b).find(b"PK\x05\x06", at)
-    return end + 22 + struct.unpack_from("<H", b, end + 20)[0] - at if 0 <= end <= len(b) - 22 else 0
+def _zip(b, at: int, marks: Marks) -> int:
+    end = marks.archive(at)
+    return end - at if end else 0
 
 
-def _gzip(b, at: int) -> int:
-    d = zlib.decompressobj(31)
-    try:
-        d.decompress(bytes(b[at:]))
-    except zlib.error:
+def _gzip(b, at: int, marks: Marks) -> int:
+    """One member: the header's optional fields, the deflated data, and the checksum."""
+    if at + 18 > len(b) or b[at + 3] & 0xE0:
         return 0
-    return len(b) - at - len(d.unused_data) if d.eof else 0
+    flags, pos = b[at + 3], at + 10
+    if flags & 4:
+        if pos + 2 > len(b):
+            return 0
+        pos += 2 + struct.unpack_from("<H", b, pos)[0]
+    for flag in (8, 16):  # file name, comment
+        if flags & flag:
+            pos = marks.next_nul(pos, flag) + 1
+    pos += 2 if flags & 2 else 0
+    end = marks.inflated(pos) if pos < len(b) else 0
+    return end - at if end else 0
 
 
 VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _wav, "image/webp": _riff, "audio/flac": _flac, "audio/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip}
@@ -189,10 +274,10 @@ def carve(media: bytes | None) -> Iterator[Found]:
     """All media whose magic bytes occur anywhere and whose structure and length the format's validator confirms, by start."""
     if not media:
         return
-    seen = set()
+    seen, marks = set(), Marks(media)
     for end, (n, offset, kind) in automaton().iter(media.decode("latin-1")):
         at = end + 1 - n - offset
-        if at >= 0 and (at, kind) not in seen and (length := VALIDATORS[kind](media, at)):
+        if at >= 0 and (at, kind) not in seen and (length := VALIDATORS[kind](media, at, marks)):
             seen.add((at, kind))
             yield Found(at, length, kind)
 
