@@ -42,11 +42,17 @@ def apply_rules(rules: Sequence[tuple[str, str]] = RULES) -> tuple[Column, Colum
 
 
 def _entropy(x: Column) -> Column:
-    """Shannon entropy of the characters, in bits; empty: 0."""
+    """Shannon entropy of all characters, in bits; empty: 0. One fold over the sorted characters, run by run."""
     n = F.length(x).cast("double")
-    chars = F.array_distinct(F.filter(F.split(x, ""), lambda c: c != ""))
-    share = lambda c: F.length(F.regexp_replace(x, F.concat(F.lit(r"[^\Q"), c, F.lit(r"\E]")), "")) / n
-    return F.when(F.length(x) > 0, F.aggregate(chars, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))).otherwise(0.0)
+    chars = F.array_sort(F.filter(F.split(x, ""), lambda c: c != ""))
+    weigh = lambda k: k * F.log2(F.greatest(k, F.lit(1.0)))
+
+    def add(s: Column, c: Column) -> Column:
+        same = s["c"] == c
+        return F.struct(c.alias("c"), F.when(same, s["k"] + 1.0).otherwise(F.lit(1.0)).alias("k"), F.when(same, s["sum"]).otherwise(s["sum"] + weigh(s["k"])).alias("sum"))
+
+    zero = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum"))
+    return F.when(n > 0, F.aggregate(chars, zero, add, lambda s: F.log2(n) - (s["sum"] + weigh(s["k"])) / n)).otherwise(0.0)
 
 
 def suffix(column: str = "host") -> Column:
@@ -59,7 +65,7 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     u = F.coalesce(F.col(url), F.lit(""))
     count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
     digits = F.length(F.regexp_replace(u, "[^0-9]", ""))
-    own = {"length": F.length(u), "host_length": F.length("host"), "depth": count(F.col("path"), "/"), "digit_ratio": F.when(F.length(u) > 0, digits / F.length(u)).otherwise(0.0), "entropy": _entropy(F.left(u, F.lit(2000))), "params": count(u, "="), "hyphens": count(F.col("host"), "-"), "labels": count(F.col("host"), "."), "path_length": F.length("path")}
+    own = {"length": F.length(u), "host_length": F.length("host"), "depth": count(F.col("path"), "/"), "digit_ratio": F.when(F.length(u) > 0, digits / F.length(u)).otherwise(0.0), "entropy": _entropy(u), "params": count(u, "="), "hyphens": count(F.col("host"), "-"), "labels": count(F.col("host"), "."), "path_length": F.length("path")}
     return df.select("*", *[v.cast("double").alias(k) for k, v in own.items()])
 
 
@@ -81,9 +87,22 @@ class Trees:
         return out
 
 
-def _rates(labelled: DataFrame, by: str, prior: float, strength: float = 20.0) -> DataFrame:
-    """Smoothed share of blocked rows per value; the frequent values only matter to the trees, and partial sums come first."""
-    return labelled.groupBy(F.col(by).alias(f"{by}_key")).agg(((F.sum("y") + prior * strength) / (F.count("*") + strength)).alias(f"{by}_rate"))
+def _rates(labelled: DataFrame, by: str) -> DataFrame:
+    """(value, blocked, labelled) sums per value of a column: partial sums come first, and as a written table Spark may split the rows that join it."""
+    sums = labelled.groupBy(F.col(by).alias(f"{by}_key")).agg(F.sum("y").alias(f"{by}_blocked"), F.count("*").alias(f"{by}_labelled"))
+    return materialize(sums, f"url_{by}")
+
+
+def with_rates(rows: DataFrame, rates: dict[str, DataFrame], prior: float, own: bool, strength: float = 20.0) -> DataFrame:
+    """rows with suffix_rate and path_rate: the smoothed shares of blocked urls among the labelled ones of their suffix and first path part.
+
+    own: the rows are labelled ones, and each leaves itself out of its rates, so that no rate holds the label it is to tell."""
+    y, one = (F.col("y"), 1) if own else (F.lit(0), 0)
+    for by, name in (("suffix", "suffix_rate"), ("first", "path_rate")):
+        rows = rows.join(rates[by], F.col(by) == F.col(f"{by}_key"), "left")
+        blocked, n = F.coalesce(F.col(f"{by}_blocked") - y, F.lit(0)), F.coalesce(F.col(f"{by}_labelled") - one, F.lit(0))
+        rows = rows.withColumn(name, (blocked + prior * strength) / (n + strength))
+    return rows
 
 
 def boost(train: DataFrame, n_trees: int = 12, depth: int = 3, bins: int = 16, rate: float = 0.3, ridge: float = 1.0) -> Trees:
@@ -145,6 +164,27 @@ def boost(train: DataFrame, n_trees: int = 12, depth: int = 3, bins: int = 16, r
     return Trees(base, tuple(real(t) for t in trees), rate)
 
 
+def prepare(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, url, host, path, rule, ruled (the rule's verdict), suffix, first and the lexical features of every url, written and read again."""
+    rule, verdict = apply_rules(rules)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")).withColumn("host", host()).withColumn("path", path())
+    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("suffix", suffix())
+    rows = rows.withColumn("first", F.substring_index(F.substring(F.col("path"), F.lit(2), F.length("path")), "/", 1))
+    return materialize(lexical(rows), "url_rows")
+
+
+def probabilities(rows: DataFrame, labelled: DataFrame, max_train: int = 50_000) -> DataFrame:
+    """prepare()d rows with block_probability, by trees and rates from labelled ones (prepare()d, ruled not null)."""
+    labelled = labelled.withColumn("y", F.when(F.col("ruled") == "block", 1).otherwise(0))
+    n, pos = labelled.agg(F.count("*"), F.sum("y")).first()
+    prior = (pos or 0) / n if n else 0.0
+    rates = {by: _rates(labelled, by) for by in ("suffix", "first")}
+    share = min(1.0, max_train / max(n, 1))
+    chosen = labelled.where(F.pmod(F.xxhash64("host", "path"), F.lit(1_000_000)) < share * 1_000_000)
+    model = boost(materialize(with_rates(chosen, rates, prior, True).select("y", *FEATURES), "url_train"))
+    return with_rates(rows, rates, prior, False).withColumn("block_probability", 1 / (1 + F.exp(-model.logit())))
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_train: int = 50_000, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and block_probability of every url.
 
@@ -154,23 +194,6 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_train:
     their features; without labelled urls the verdict is allow. Repeated rows each have a row; an empty table gives none; other columns are
     not read.
     """
-    rule, verdict = apply_rules(rules)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")).withColumn("host", host()).withColumn("path", path())
-    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("suffix", suffix()).withColumn("path", F.col("path"))
-    rows = rows.withColumn("first", F.substring_index(F.substring("path", 2, 1 << 20), "/", 1))
-    rows = materialize(lexical(rows), "url_rows")
-    labelled = rows.where("ruled is not null").withColumn("y", F.when(F.col("ruled") == "block", 1).otherwise(0))
-    n, pos = labelled.agg(F.count("*"), F.sum("y")).first()
-    prior = (pos or 0) / n if n else 0.0
-    suffixes, firsts = _rates(labelled, "suffix", prior), _rates(labelled, "first", prior)
-
-    def with_rates(df: DataFrame) -> DataFrame:
-        df = df.join(suffixes, F.col("suffix") == F.col("suffix_key"), "left").join(firsts, F.col("first") == F.col("first_key"), "left")
-        return df.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(prior))).withColumn("path_rate", F.coalesce("first_rate", F.lit(prior)))
-
-    share = min(1.0, max_train / max(n, 1))
-    chosen = labelled.where(F.pmod(F.xxhash64("host", "path"), F.lit(1_000_000)) < share * 1_000_000)
-    model = boost(materialize(with_rates(chosen).select("y", *FEATURES), "url_train"))
-    p = 1 / (1 + F.exp(-model.logit()))
-    out = with_rates(rows).withColumn("block_probability", p)
+    rows = prepare(pages, rules, id_col, url_col)
+    out = probabilities(rows, rows.where("ruled is not null"), max_train)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("block_probability") >= threshold, "block").otherwise("allow")).alias("verdict"), "block_probability")
