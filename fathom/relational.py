@@ -17,11 +17,11 @@ BOTH: dict[str, str] = {
     "and_or_not": "SELECT s_suppkey FROM supplier WHERE (s_acctbal > 5000 OR s_nationkey = 3) AND NOT s_nationkey = 7",
     "case_searched": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders",
     "case_simple": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders",
-    "arithmetic": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, -l_quantity AS minus_qty, CAST(l_partkey % 7 AS BIGINT) AS rem FROM lineitem WHERE l_orderkey < 500",
-    "join_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 = 0",
+    "arithmetic": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, -l_quantity AS minus_qty, CAST(l_partkey % 7 AS BIGINT) AS rem FROM lineitem",
+    "join_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "join_left_count": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "join_right": "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 8000",
-    "join_full": "SELECT a.c_custkey AS a_key, b.s_suppkey AS b_key FROM (SELECT c_custkey FROM customer WHERE c_custkey < 60) a FULL OUTER JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey > 40) b ON a.c_custkey = b.s_suppkey",
+    "join_full": "SELECT a.c_custkey AS a_key, b.s_suppkey AS b_key FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) a FULL OUTER JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) b ON a.c_custkey = b.s_suppkey",
     "join_cross_small": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_theta": "SELECT a.n_nationkey AS a_key, b.n_nationkey AS b_key FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_comma_multi": "SELECT n_name, count(*) AS n FROM customer, orders, nation WHERE c_custkey = o_custkey AND c_nationkey = n_nationkey AND o_totalprice > 50000 GROUP BY n_name",
@@ -40,7 +40,12 @@ BOTH: dict[str, str] = {
     "having_alias": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING n > 12",
     "having_agg": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12 AND sum(o_totalprice) > 0",
     "distinct_multi": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
-    "any_value_group": "SELECT n_regionkey, count(*) AS n, any_value(n_regionkey) AS same FROM nation GROUP BY n_regionkey",
+    "any_value_group": "SELECT n_regionkey, count(*) AS n, any_value(n_name) IS NOT NULL AS some FROM nation GROUP BY n_regionkey",
+    "star_of_table": "SELECT n.* FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name <> 'nowhere'",
+    "bit_operations": "SELECT o_orderkey, o_orderkey & 255 AS low, o_orderkey | 7 AS up, o_orderkey % 13 AS rem FROM orders",
+    "null_safe_equal": "SELECT count(*) AS n FROM nation a JOIN nation b ON nullif(a.n_regionkey, 1) IS NOT DISTINCT FROM nullif(b.n_regionkey, 1)",
+    "lateral_latest": "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t",
+    "concat_operator": "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS STRING) AS tag FROM nation",
     "rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
@@ -79,6 +84,9 @@ BOTH: dict[str, str] = {
 
 #: name -> (Spark SQL, DuckDB SQL)
 EACH: dict[str, tuple[str, str]] = {
+    "xor_bits": ("SELECT o_orderkey, o_orderkey ^ 5 AS x FROM orders", "SELECT o_orderkey, xor(o_orderkey, 5) AS x FROM orders"),
+    "if_function": ("SELECT n_nationkey, if(n_regionkey = 1, 'one', n_name) AS name FROM nation", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'one' ELSE n_name END AS name FROM nation"),
+    "maths": ("SELECT p_partkey, floor(p_retailprice) AS lo, ceil(p_retailprice) AS hi, abs(-p_size) AS a, power(p_size, 2) AS sq, round(sqrt(p_size), 6) AS root, greatest(p_size, 10) AS g FROM part", "SELECT p_partkey, floor(p_retailprice)::BIGINT AS lo, ceil(p_retailprice)::BIGINT AS hi, abs(-p_size) AS a, power(p_size, 2) AS sq, round(sqrt(p_size), 6) AS root, greatest(p_size, 10) AS g FROM part"),
     "safe_div": ("SELECT n_nationkey, round(try_divide(100, n_regionkey), 6) AS q FROM nation", "SELECT n_nationkey, round(100 / nullif(n_regionkey, 0), 6) AS q FROM nation"),
     "length_bytes_chars": ("SELECT DISTINCT c_mktsegment, octet_length(c_mktsegment) AS b, char_length(concat(c_mktsegment, 'é')) AS c FROM customer", "SELECT DISTINCT c_mktsegment, strlen(c_mktsegment)::INTEGER AS b, length(concat(c_mktsegment, 'é'))::INTEGER AS c FROM customer"),
     "concat_null": ("SELECT n_nationkey, concat_ws('', n_name, CASE WHEN n_regionkey = 1 THEN NULL ELSE '!' END) AS s FROM nation", "SELECT n_nationkey, concat(n_name, CASE WHEN n_regionkey = 1 THEN NULL ELSE '!' END) AS s FROM nation"),
