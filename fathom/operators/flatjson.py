@@ -13,9 +13,7 @@ def key_stats(df: DataFrame, column: str) -> DataFrame:
     """(key, occurrences, occurrence_rate, type): one pass. Rows that don't parse count in the denominator. Types widen
     null < int64 < float64 < string, booleans only with booleans; nested values are strings."""
     n = df.select(F.count("*").alias("rows"))
-    keys = df.select(F.explode(F.json_object_keys(column)).alias("key"), F.col(column).alias("j"))
-    raw = F.from_json("j", "map<string,string>")[F.col("key")]
-    v = keys.select("key", raw.alias("v"))
+    v = df.select(F.explode(F.from_json(column, "map<string,string>")).alias("key", "v"))  # each document is parsed once
     kind = F.when(F.col("v").isNull(), "null").when(F.col("v").isin("true", "false"), "bool").when(F.col("v").rlike(r"^-?\d{1,18}$"), "int64").when(F.col("v").rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "float64").otherwise("string")
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in _RANK.items() for x in kv]), kind)
     per = v.groupBy("key").agg(F.count("*").alias("occurrences"), F.max(rank).alias("hi"), F.max(F.when(kind == "bool", 1).otherwise(0)).alias("some_bool"), F.max(F.when(kind.isin("int64", "float64", "string"), 1).otherwise(0)).alias("some_other"))
@@ -24,6 +22,15 @@ def key_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def promote(df: DataFrame, column: str, threshold: float = 0.5, prefix: str = "") -> DataFrame:
-    """df with a typed column for each key whose occurrence is at least the threshold; at most as many as the JSON has frequent keys."""
+    """df with a typed column for each key whose occurrence is at least the threshold; at most as many as the JSON has frequent keys.
+
+    A key whose name is taken (in any case) gets underscores behind it. Each document is parsed once, whatever the keys' names hold."""
     frequent = key_stats(df, column).where(F.col("occurrence_rate") >= threshold).orderBy("key").collect()
-    return df.select("*", *[F.get_json_object(column, f"$['{r.key}']").try_cast(_SPARK[r.type]).alias(prefix + r.key) for r in frequent])
+    taken, parsed, out = {c.lower() for c in df.columns}, F.from_json(column, "map<string,string>"), []
+    for r in frequent:
+        name = prefix + r.key
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(F.col("__json")[r.key].try_cast(_SPARK[r.type]).alias(name))
+    return df.withColumn("__json", parsed).select(*[F.col(f"`{c}`") for c in df.columns], *out)

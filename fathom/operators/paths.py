@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ngrams(df: DataFrame, length: int = 3, top: int | None = 20, user: str = "user_id", ts: str = "ts", event: str = "event_type", event_id: str = "event_id", min_support: int = 1, session: str | None = None, where: Column | None = None, formatted: bool = False) -> DataFrame:
+def ngrams(df: DataFrame, length: int = 3, top: int | None = 20, user: str = "user_id", ts: str = "ts", event: str = "event_type", event_id: str = "event_id", min_support: int = 1, session: str | None = None, where: Column | None = None, formatted: bool = False, entry: str | None = None, exit: str | None = None, as_array: bool = False) -> DataFrame:
     """(path, count, user_count, percentage) of all contiguous n-grams, most frequent first, ties by path.
 
-    Timelines are windows by user (and session, if given), in the order (ts, event_id); percentage is of all n-grams."""
-    rows = df.where(F.col(user).isNotNull()) if where is None else df.where(F.col(user).isNotNull() & where)
+    Timelines are windows by user (and session, if given), in the order (ts, event_id); percentage is of all n-grams. Rows without user or
+    event name are no steps. entry and exit keep the n-grams that begin or end there; path is text, or an array with as_array."""
+    rows = df.where(F.col(user).isNotNull() & F.col(event).isNotNull())
+    rows = rows if where is None else rows.where(where)
     w = Window.partitionBy(user, *([session] if session else [])).orderBy(ts, event_id)
     steps = [F.col(event).cast("string")] + [F.lead(F.col(event).cast("string"), k).over(w) for k in range(1, length)]
     grams = rows.select(F.col(user).alias("u"), *[s.alias(f"s{k}") for k, s in enumerate(steps)])
     if length > 1:
         grams = grams.where(F.col(f"s{length - 1}").isNotNull())
-    per_user = grams.groupBy(F.concat_ws(" => ", *[f"s{k}" for k in range(length)]).alias("path"), "u").agg(F.count("*").alias("n"))
+    for k, name in ((0, entry), (length - 1, exit)):
+        if name is not None:
+            grams = grams.where(F.col(f"s{k}") == name)
+    names = [f"s{k}" for k in range(length)]
+    per_user = grams.groupBy((F.array(*names) if as_array else F.concat_ws(" => ", *names)).alias("path"), "u").agg(F.count("*").alias("n"))
     out = per_user.groupBy("path").agg(F.sum("n").alias("count"), F.count("*").alias("user_count"))
     total = out.agg(F.sum("count").alias("total"))
     share = F.col("count") / F.col("total")
@@ -31,7 +37,7 @@ def session_paths(df: DataFrame, start: str | None = None, end: str | None = Non
     A path breaks where the gap since its last event exceeds gap_seconds; it begins at `start` (or any event), ends at `end` or at
     max_depth, and what is left at a break or at the end counts too. One fold per user; ties rank by path."""
     gap = gap_seconds * 1_000_000
-    rows = df.where(F.col(user).isNotNull()).select(F.col(user).alias("u"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(event_id).alias("i"), F.col(event).alias("e"))
+    rows = df.where(F.col(user).isNotNull() & F.col(event).isNotNull()).select(F.col(user).alias("u"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(event_id).alias("i"), F.col(event).alias("e"))
     lines = rows.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("t", "i", "e"))).alias("line"))
     # breaks after the last appended event need the fold only where events are skipped; marks: 0 skip, 1 begin, 2 append
     zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<p:int,e:string>>").alias("out"), F.lit(0).alias("p"))

@@ -31,16 +31,42 @@ def routine_load(lines: DataFrame, table_path: str, dead_path: str, checkpoint:
     return a, b
 
 
-def incremental_view(stream: DataFrame, view, path: str, checkpoint: str):
-    """Keeps a pre-aggregate's mergeable state: each batch is aggregated alone and merged into a new version of the state at path/<batch>.
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """(batches, merged): the numbers of the batches' own states at path/<n>, and of states merged up to batch n at path/whole-<n>."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(jpath)] if fs.exists(jpath) else []
+    done = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n) for n in done if n.isdigit()), sorted(int(n[6:]) for n in done if n.startswith("whole-"))
 
-    A batch that runs again overwrites its own version, so the result is exactly-once."""
+
+def view_state(spark: SparkSession, view, path: str, before: int | None = None) -> DataFrame | None:
+    """The mergeable state that incremental_view keeps at path, of all batches (or those before one); None if there is none."""
+    batches, merged = _versions(spark, path)
+    merged = [n for n in merged if before is None or n < before]
+    last = merged[-1] if merged else -1
+    parts = [f"{path}/whole-{last}"] * bool(merged) + [f"{path}/{n}" for n in batches if n > last and (before is None or n < before)]
+    return view.rollup(spark.read.parquet(*parts), view.spec.group_by) if parts else None
+
+
+def incremental_view(stream: DataFrame, view, path: str, checkpoint: str, every: int = 16):
+    """Keeps a pre-aggregate's mergeable state: each batch is aggregated alone and written to path/<batch>, and every so many batches what is there is merged.
+
+    A batch that runs again overwrites its own state, so the result is exactly-once; what a merged state holds is removed once a later batch
+    comes, which shows that the merge was committed. view_state() reads the whole."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        state = view.state(batch)
-        if number:
-            state = view.merge(batch.sparkSession.read.parquet(f"{path}/{number - 1}"), state)
-        state.write.mode("overwrite").parquet(f"{path}/{number}")
+        spark = batch.sparkSession
+        fs_path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        batches, merged = _versions(spark, path)
+        sure = [n for n in merged if n < number]
+        if sure:
+            old = [str(n) for n in batches if n <= sure[-1]] + [f"whole-{n}" for n in sure[:-1]]
+            for name in old:
+                fs_path(name).getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path(name), True)
+        view.state(batch).write.mode("overwrite").parquet(f"{path}/{number}")
+        if number % every == every - 1:
+            view_state(spark, view, path, number + 1).write.mode("overwrite").parquet(f"{path}/whole-{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
