@@ -13,7 +13,8 @@ from . import relational
 from .functions import mysql
 from .operators import cohort, flatjson, funnel, paths, sessions
 from .plans import preagg
-from .plans.registry import Registry
+from .plans.registry import Registry, fingerprint
+from .plans.statements import Engine, column_stats
 from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,9 +186,23 @@ def session_paths_depth(spark, sf_dir):
     return paths.session_paths(tables.events(spark, sf_dir), max_depth=3, gap_seconds=12 * HOURS)
 
 
-@query()
+def _walk_sql(start: str, end: str, depth: int, gap: int) -> str:
+    """session_paths with a start and an end, as a walk over each user's events by row number."""
+    n = f"CASE WHEN w.n > 0 AND e.t - w.l > {gap * 1_000_000} THEN 0 ELSE w.n END"
+    take = f"(({n}) > 0 OR e.e = '{start}')"
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id AS u, epoch_us(ts) AS t, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT DISTINCT u, 0::BIGINT AS rn, 0 AS n, 0::BIGINT AS l, 0 AS p, false AS k, NULL::VARCHAR AS e FROM e
+  UNION ALL
+  SELECT w.u, e.rn, CASE WHEN NOT {take} THEN ({n}) WHEN ({n}) + 1 >= {depth} OR e.e = '{end}' THEN 0 ELSE ({n}) + 1 END,
+    CASE WHEN {take} THEN e.t ELSE w.l END, CASE WHEN {take} AND ({n}) = 0 THEN w.p + 1 ELSE w.p END, {take}, e.e
+  FROM w JOIN e ON e.u = w.u AND e.rn = w.rn + 1),
+p AS (SELECT string_agg(e, ' => ' ORDER BY rn) AS path FROM w WHERE k GROUP BY u, p HAVING count(*) >= 2), q AS (SELECT path, count(*) AS count FROM p GROUP BY path)
+SELECT (row_number() OVER (ORDER BY count DESC, path))::INTEGER AS rank, path, count FROM q ORDER BY count DESC, path LIMIT 20"""
+
+
+@query(_walk_sql("view", "purchase", 4, 12 * HOURS))
 def session_paths_start_end(spark, sf_dir):
-    """Compared with a plain Python model in the tests."""
     return paths.session_paths(tables.events(spark, sf_dir), start="view", end="purchase", max_depth=4, gap_seconds=12 * HOURS)
 
 
@@ -226,11 +241,29 @@ def event_sessions(spark, sf_dir):
     return sessions.with_sessions(tables.events(spark, sf_dir), 6 * HOURS).select("event_id", "session_seq", "is_new_user", "session_duration_secs")
 
 
+_STORED: dict[tuple, object] = {}
+
+
+def _kept(spark, sf_dir, what: str, build):
+    """What a session has stored for a folder of tables: built when first asked for, and anew when the session or the files change."""
+    now = (spark.sparkContext.applicationId, sf_dir, what)
+    made_of = fingerprint(tables.read(spark, sf_dir, "events"))
+    if now not in _STORED or _STORED[now][0] != made_of:
+        _STORED[now] = (made_of, build())
+    return _STORED[now][1]
+
+
 def _routed(spark, sf_dir):
+    """The events behind a stored session table, where the registry allows it."""
     events = tables.events(spark, sf_dir)
-    r = Registry()
-    r.create("events_sessions", "events", events, timeout_seconds=6 * HOURS)
-    return r.events("events", events)
+
+    def build():
+        r = Registry()
+        name = f"events_sessions_{uuid.uuid4().hex[:8]}"
+        r.create(name, "events", events, timeout_seconds=6 * HOURS, table=name)
+        return r
+
+    return _kept(spark, sf_dir, "sessions", build).events("events", events)
 
 
 @query(ORACLES["funnel_anchored"])
@@ -258,8 +291,125 @@ def _tidy(df: DataFrame) -> DataFrame:
 
 @query(_BY_TYPE_SQL)
 def preagg_daily_rewrite(spark, sf_dir):
+    """The query from a stored daily pre-aggregate."""
     df = _with_day(spark, sf_dir)
-    return _tidy(preagg.rewrite(_BY_TYPE, [preagg.View("daily", _DAILY).refresh(df)], df)[0])
+
+    def build():
+        v, name = preagg.View("daily", _DAILY), f"daily_{uuid.uuid4().hex[:8]}"
+        v.state(df).write.saveAsTable(name)
+        v.data = spark.table(name)
+        return v
+
+    return _tidy(preagg.rewrite(_BY_TYPE, [_kept(spark, sf_dir, "daily", build)], df)[0])
+
+
+def _engine(spark, sf_dir) -> Engine:
+    """A statement engine over a copy of the events that is a table of its own."""
+    name = f"ev_{uuid.uuid4().hex[:8]}"
+    tables.events(spark, sf_dir).write.saveAsTable(name)
+    x = Engine(spark)
+    x.table = name
+    return x
+
+
+@query("SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value * 2), 2) AS twice, max(value) AS hi, count(DISTINCT user_id) AS users FROM events WHERE value >= 1 GROUP BY 1, 2")
+def statement_preagg(spark, sf_dir):
+    """CREATE MATERIALIZED VIEW with expressions, a condition and an unnamed aggregate; the same query is then answered from it."""
+    x = _engine(spark, sf_dir)
+    body = f"SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, event_type, COUNT(*) AS n, SUM(value * 2) AS twice, MAX(value), COUNT(DISTINCT user_id) AS users FROM {x.table} WHERE value >= 1 GROUP BY day, event_type"
+    x.sql(f"CREATE MATERIALIZED VIEW {x.table}_mv AS {body}")
+    got = x.sql(body)
+    assert x.last_route == f"{x.table}_mv"
+    return got.withColumnRenamed("max(value)", "hi").withColumn("twice", F.round("twice", 2))
+
+
+@query("SELECT event_type, (count(*) + (SELECT count(*) FROM events WHERE event_type = e.event_type AND value > 50))::BIGINT AS n FROM events e GROUP BY event_type")
+def statement_preagg_after_insert(spark, sf_dir):
+    """A pre-aggregate is passed over once its source has more rows, and answers again after a refresh."""
+    x = _engine(spark, sf_dir)
+    q = f"SELECT event_type, COUNT(*) AS n FROM {x.table} GROUP BY event_type"
+    x.sql(f"CREATE MATERIALIZED VIEW {x.table}_mv AS {q}")
+    x.sql(f"INSERT INTO {x.table} SELECT * FROM {x.table} WHERE value > 50")
+    x.last_route = ""
+    stale = x.sql(q)
+    assert x.last_route == ""
+    x.sql(f"REFRESH MATERIALIZED VIEW {x.table}_mv")
+    fresh = x.sql(q)
+    assert x.last_route == f"{x.table}_mv"
+    return stale.unionByName(fresh).distinct()
+
+
+@query(_anchored_sql(["view", "click", "purchase"], 6 * HOURS).replace("FROM events", "FROM (SELECT * FROM events WHERE event_type <> 'click' OR value > 20)"))
+def statement_funnel_after_delete(spark, sf_dir):
+    """FUNNEL_COUNT never answers from a session table that is older than its source."""
+    x = _engine(spark, sf_dir)
+    x.sql(f"CREATE SESSION MATERIALIZED VIEW {x.table}_s FROM {x.table} USER KEY user_id SESSION TIMEOUT 6 HOURS REFRESH MANUAL")
+    x.sql(f"DELETE FROM {x.table} WHERE event_type = 'click' AND value <= 20")
+    q = f"SELECT FUNNEL_COUNT(user_key => user_id, event_col => event_type, time_col => ts, steps => ['view', 'click', 'purchase'], time_window => INTERVAL 6 HOUR) FROM {x.table}"
+    stale = x.sql(q)
+    x.sql(f"REFRESH SESSION MATERIALIZED VIEW {x.table}_s")
+    return stale.unionByName(x.sql(q)).distinct()
+
+
+@query(f"SELECT half, list(users ORDER BY step) AS funnel FROM ({' UNION ALL '.join(f"SELECT {half} AS half, * FROM ({_anchored_sql(['view', 'click', 'purchase'], 6 * HOURS).replace('FROM events', f'FROM (SELECT * FROM events WHERE day(ts) % 2 = {half})')})" for half in (0, 1))}) GROUP BY half".replace("list(users ORDER BY step)", "string_agg(users::VARCHAR, ',' ORDER BY step)"))
+def funnel_array_by_dimension(spark, sf_dir):
+    """FUNNEL_COUNT as an array for each group."""
+    df = tables.events(spark, sf_dir).withColumn("half", F.day("ts") % 2)
+    got = funnel.funnel_count(df, ["view", "click", "purchase"], 6 * HOURS, by=["half"])
+    return got.select("half", F.array_join("funnel", ",").alias("funnel"))
+
+
+@query(ORACLES["cohort_first_return"].replace("e = 'signup'", "e = 'signup' AND v > 10").replace("e.e = 'purchase'", "e.e IN ('purchase', 'click')").replace("event_type AS e FROM", "event_type AS e, value AS v FROM"))
+def cohort_by_conditions(spark, sf_dir):
+    """Entry and return as conditions on the rows."""
+    entry, back = (F.col("event_type") == "signup") & (F.col("value") > 10), F.col("event_type").isin("purchase", "click")
+    return cohort.first_return(tables.events(spark, sf_dir), entry, back)
+
+
+@query(
+    """WITH g AS (SELECT user_id, event_type, lead(event_type, 1) OVER w AS s1, lead(event_type, 2) OVER w AS s2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT event_type || ',' || s1 || ',' || s2 AS path, user_id FROM g WHERE event_type = 'view' AND s2 = 'purchase')
+SELECT path, count(*) AS count, count(DISTINCT user_id) AS user_count, round(count(*) / (SELECT count(*) FROM p) * 100, 6) AS percentage FROM p GROUP BY path"""
+)
+def path_entry_exit_array(spark, sf_dir):
+    """Trigrams from one event to another, as arrays."""
+    got = paths.ngrams(tables.events(spark, sf_dir), 3, None, entry="view", exit="purchase", as_array=True)
+    return got.withColumn("path", F.array_join("path", ","))
+
+
+@query("SELECT v.event_id, c.event_id AS last_click FROM (SELECT * FROM events WHERE event_type = 'view') v ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.ts >= c.ts")
+def as_of_join(spark, sf_dir):
+    """Each view with the same user's last click."""
+    e = tables.events(spark, sf_dir)
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("last_click"))
+    return tables.as_of(e.where("event_type = 'view'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", ["last_click"]).select("event_id", "last_click")
+
+
+@query("SELECT v.event_id, count(c.event_id) AS clicks FROM (SELECT * FROM events WHERE event_type = 'view') v LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON v.user_id = c.user_id AND c.ts BETWEEN v.ts AND v.ts + INTERVAL 6 HOUR GROUP BY 1")
+def interval_join(spark, sf_dir):
+    """Clicks of the same user within six hours of each view: an equi-join with a range condition."""
+    e = tables.events(spark, sf_dir)
+    v, c = e.where("event_type = 'view'").alias("v"), e.where("event_type = 'click'").select("user_id", "ts", "event_id").alias("c")
+    hit = (F.col("v.user_id") == F.col("c.user_id")) & F.col("c.ts").between(F.col("v.ts"), F.col("v.ts") + F.expr("INTERVAL 6 HOURS"))
+    return v.join(c, hit, "left").groupBy("v.event_id").agg(F.count("c.event_id").alias("clicks"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS distinct, min({c})::VARCHAR AS low, max({c})::VARCHAR AS high FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+def column_statistics(spark, sf_dir):
+    return column_stats(tables.read(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], exact=True)
+
+
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer WHERE c_acctbal >= 0 OR c_acctbal IS NULL GROUP BY 1, 2")
+def cube_lifecycle(spark, sf_dir):
+    """A cube is created, filled, altered both ways and cleaned by statements alone."""
+    x, name = Engine(spark), f"cube_{uuid.uuid4().hex[:8]}"
+    tables.register(spark, sf_dir, ("customer",))
+    x.sql(f"CREATE CUBE {name} (c_custkey BIGINT NOT NULL, c_mktsegment VARCHAR(20), c_nationkey INT, c_acctbal DOUBLE, since DATETIME) PARTITION BY RANGE(since) INTERVAL 1 MONTH AUTO ORDER BY (c_custkey) DISTRIBUTED BY HASH(c_custkey) BUCKETS 4 PROPERTIES ('team' = 'tests')")
+    x.sql(f"INSERT INTO {name} SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal, TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, CAST(c_custkey % 90 AS INT)) FROM customer")
+    x.sql(f"ALTER CUBE {name} ADD COLUMN note TEXT")
+    x.sql(f"ALTER CUBE {name} DROP COLUMN note")
+    x.sql(f"DELETE FROM {name} WHERE c_acctbal < 0")
+    return x.sql(f"SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM {name} WHERE p IN ('p_2024_01', 'p_2024_02', 'p_2024_03') GROUP BY c_mktsegment, c_nationkey")
 
 
 @query(_BY_TYPE_SQL)
@@ -305,9 +455,15 @@ def mysql_functions(spark, sf_dir):
     return tables.events(spark, sf_dir).select("event_id", mysql.date_format("ts", "%d/%m/%Y").alias("d"), mysql.json_value("props", "$.k", "bigint").alias("k"), mysql.mysql_concat("event_type", F.lit("#"), F.lit(None).cast("string")).alias("tag"))
 
 
-@query()
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS near, true AS hll_near, true AS union_near FROM events GROUP BY event_type")
 def approx_distinct_users(spark, sf_dir):
-    return tables.events(spark, sf_dir).groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("hll_users"))
+    """Sketches beside the exact count, and whether they are within 10 % of it; the last is a union of sketches of days."""
+    e = tables.events(spark, sf_dir)
+    near = lambda x: F.abs(x - F.col("users")) <= 0.1 * F.col("users")
+    direct = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    sketches = e.groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("a"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("h"))
+    days = e.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.hll_sketch_agg("user_id").alias("s")).groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("m"))
+    return direct.join(sketches, "event_type").join(days, "event_type").select("event_type", "users", near(F.col("a")).alias("near"), near(F.col("h")).alias("hll_near"), near(F.col("m")).alias("union_near"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
@@ -319,7 +475,6 @@ def bitmap_distinct_users(spark, sf_dir):
 
 
 def _stream(spark, sf_dir) -> tuple[DataFrame, str]:
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/checkpoints"
     path = f"{sf_dir}/events.parquet"
     reader = spark.readStream.schema(tables.read(spark, sf_dir, "events").schema)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -327,7 +482,7 @@ def _stream(spark, sf_dir) -> tuple[DataFrame, str]:
         stream = reader.parquet(path)
     else:  # a stream watches a folder, so a single file is picked out of its own
         stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")), f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")), tables.scratch(spark, "stream")
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
@@ -337,7 +492,7 @@ def stream_preagg(spark, sf_dir):
     stream, base = _stream(spark, sf_dir)
     v = preagg.View("by_type", preagg.Spec("events", ("event_type",), (("count", "*", "n"), ("sum", "value", "total"))))
     ingest.incremental_view(stream, v, f"{base}/state", f"{base}/ck").awaitTermination()
-    v.data = spark.read.parquet(f"{base}/state/0")
+    v.data = ingest.view_state(spark, v, f"{base}/state")
     return v.run(v.spec).withColumn("total", F.round("total", 2))
 
 
@@ -421,8 +576,7 @@ def dead_letters(spark, sf_dir):
 
 def _external(fmt: str, **options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        base = spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/checkpoints"
-        path = f"{base.rstrip('/')}/external-{fmt}-{uuid.uuid4().hex}"
+        path = tables.scratch(spark, f"external-{fmt}")
         df = tables.read(spark, sf_dir, "customer")
         df.write.format(fmt).options(**options).save(path)
         return tables.external(spark, fmt, path, df.schema, **options).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"), F.max("c_acctbal").alias("top"))

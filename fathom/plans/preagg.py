@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,19 +15,27 @@ Agg = tuple[str, str, str]
 
 @dataclass(frozen=True)
 class Spec:
-    """SELECT group_by, aggs FROM source WHERE filters GROUP BY group_by; filters are (column, SQL condition) pairs."""
+    """SELECT group_by, aggs FROM source WHERE filters GROUP BY group_by; filters are (column, SQL condition) pairs.
+
+    A group column may be an expression, given in exprs as (name, SQL); an aggregate's column may be any SQL expression."""
 
     source: str
     group_by: tuple[str, ...]
     aggs: tuple[Agg, ...]
     filters: tuple[tuple[str, str], ...] = ()
+    exprs: tuple[tuple[str, str], ...] = ()
 
-    def run(self, df: DataFrame) -> DataFrame:
-        """Straight from the source."""
+    def rows(self, df: DataFrame) -> DataFrame:
+        """The rows that count, with the group columns that are expressions; of rows and their conditions the source's own columns come first."""
         for _, cond in self.filters:
             df = df.where(cond)
-        fn = {"count": lambda c: F.count(F.lit(1)) if c == "*" else F.count(c), "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct, "approx_distinct": lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c))}
-        return df.groupBy(*self.group_by).agg(*[fn[f](c).alias(a) for f, c, a in self.aggs])
+        return df.withColumns({n: F.expr(e) for n, e in self.exprs}) if self.exprs else df
+
+    def run(self, df: DataFrame) -> DataFrame:
+        """Straight from the source."""
+        df = self.rows(df)
+        fn = {"count": lambda c: F.count(F.lit(1)) if isinstance(c, str) else F.count(c), "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct, "approx_distinct": lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c))}
+        return df.groupBy(*self.group_by).agg(*[fn[f](c if c == "*" else F.expr(c)).alias(a) for f, c, a in self.aggs])
 
 
 def _states(aggs: tuple[Agg, ...]) -> list[tuple[str, str]]:
@@ -35,10 +45,10 @@ def _states(aggs: tuple[Agg, ...]) -> list[tuple[str, str]]:
 
 
 def _name(kind: str, col: str) -> str:
-    return f"__{kind}_{'all' if col == '*' else col}"
+    return f"__{kind}_{'all' if col == '*' else col if re.fullmatch(r'\w+', col) else f'x{zlib.crc32(col.encode()):08x}'}"
 
 
-_MAKE = {"count": lambda c: F.count(F.lit(1)) if c == "*" else F.count(c), "sum": F.sum, "min": F.min, "max": F.max, "set": F.collect_set, "hll": F.hll_sketch_agg}
+_MAKE = {"count": lambda c: F.count(F.lit(1)) if isinstance(c, str) else F.count(c), "sum": F.sum, "min": F.min, "max": F.max, "set": F.collect_set, "hll": F.hll_sketch_agg}
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "set": lambda c: F.array_distinct(F.flatten(F.collect_list(c))), "hll": F.hll_union_agg}
 
 
@@ -49,11 +59,11 @@ class View:
     name: str
     spec: Spec
     data: DataFrame | None = None
+    made_of: tuple | None = None
+    table: str | None = None
 
     def state(self, df: DataFrame) -> DataFrame:
-        for _, cond in self.spec.filters:
-            df = df.where(cond)
-        return df.groupBy(*self.spec.group_by).agg(*[_MAKE[k](c).alias(_name(k, c)) for k, c in _states(self.spec.aggs)])
+        return self.spec.rows(df).groupBy(*self.spec.group_by).agg(*[_MAKE[k](c if c == "*" else F.expr(c)).alias(_name(k, c)) for k, c in _states(self.spec.aggs)])
 
     def merge(self, a: DataFrame, b: DataFrame, group_by: tuple[str, ...] | None = None) -> DataFrame:
         return self.rollup(a.unionByName(b), self.spec.group_by if group_by is None else group_by)
@@ -75,7 +85,8 @@ class View:
         """None if this view answers the query, else why not."""
         if q.source != self.spec.source:
             return "another source"
-        if not set(q.group_by) <= set(self.spec.group_by):
+        mine = dict(self.spec.exprs)
+        if not set(q.group_by) <= set(self.spec.group_by) or any(mine.get(n) != e for n, e in q.exprs) or any(n in mine for n in q.group_by if n not in dict(q.exprs)):
             return "groups by columns that the view lacks"
         extra = [f for f in q.filters if f not in self.spec.filters]
         if not set(self.spec.filters) <= set(q.filters):

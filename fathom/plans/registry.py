@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from dataclasses import dataclass, field
 from datetime import datetime
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import sessions
 
 
+#: The states of a layout, the columns of a session table and the behavioural functions.
 class State(Enum):
     BUILDING = "Building"
     ACTIVE = "Active"
     REFRESHING = "Refreshing"
     STALE = "Stale"
     ERROR = "Error"
+    DROPPED = "Dropped"
+
+
+def fingerprint(df: DataFrame) -> tuple:
+    """What a table is made of just now: its plan and its files. New, removed or rewritten files change it, as does another definition of a view."""
+    return df.semanticHash(), tuple(sorted(df.inputFiles()))
 
 
 @dataclass
 class Layout:
-    """A session table of a source: how it was built, from which version, and over which time range."""
+    """A session table of a source: how it was built, from which version and files, and over which time range."""
 
     name: str
     source: str
@@ -34,6 +43,8 @@ class Layout:
     covers: tuple[datetime | None, datetime | None] = (None, None)
     rows: int = 0
     source_rows: int = 0
+    made_of: tuple | None = None
+    table: str | None = None
 
 
 @dataclass(frozen=True)
@@ -66,15 +77,23 @@ class Registry:
     layouts: dict[str, Layout] = field(default_factory=dict)
     versions: dict[str, int] = field(default_factory=dict)
 
-    def create(self, name: str, source: str, events: DataFrame, user_key: str = "user_id", timeout_seconds: int = 1800, covers=(None, None), table: str | None = None, source_rows: int = 0, **columns) -> Layout:
-        """Builds the session table, as a managed table if `table` names one, and registers it; one of the same name is replaced."""
-        layout = Layout(name, source.lower(), user_key, timeout_seconds, self.versions.get(source.lower(), 0), covers=covers, source_rows=source_rows)
+    def create(self, name: str, source: str, events: DataFrame, user_key: str = "user_id", timeout_seconds: int = 1800, covers=(None, None), table: str | None = None, source_rows: int = 0, buckets: int = 0, **columns) -> Layout:
+        """Registers a session table of the events; one of the same name is replaced.
+
+        With `table` it is written under that name, dealt by user into `buckets` (the session's number of shuffle partitions by default),
+        so behavioural queries read it without a shuffle, and becomes Active once it is there, with its rows counted. Without, it is
+        a plan over the events, computed by each query."""
+        layout = Layout(name, source.lower(), user_key, timeout_seconds, self.versions.get(source.lower(), 0), covers=covers, source_rows=source_rows, made_of=fingerprint(events), table=table)
         self.layouts[name.lower()] = layout
         try:
             data = sessions.sessionize(events, timeout_seconds, user=user_key, **columns)
             if table:
-                data.write.mode("overwrite").saveAsTable(table)
-                data = events.sparkSession.table(table)
+                spark = events.sparkSession
+                n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+                data.write.mode("overwrite").bucketBy(n, "user_key").sortBy("user_key", "session_seq").saveAsTable(table)
+                data = spark.table(table)
+                layout.rows, layout.source_rows = data.agg(F.count("*"), F.sum("session_event_count")).first()
+                layout.source_rows = layout.source_rows or 0
             layout.data, layout.state = data, State.ACTIVE
         except Exception:
             layout.state = State.ERROR
@@ -94,20 +113,37 @@ class Registry:
         x = self.layouts[name.lower()]
         x.state = State.REFRESHING
         try:
-            x.data = sessions.refresh(x.data, events, batch, x.timeout_seconds, user=x.user_key, **columns)
+            data = sessions.refresh(x.data, events, batch, x.timeout_seconds, user=x.user_key, **columns)
+            if x.table:  # a stored table is stored again: under a name of its own first, as the new data are read from the old
+                n, fresh = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"{x.table}_{uuid.uuid4().hex[:8]}"
+                data.write.bucketBy(n, "user_key").sortBy("user_key", "session_seq").saveAsTable(fresh)
+                events.sparkSession.sql(f"DROP TABLE IF EXISTS {x.table}")
+                events.sparkSession.sql(f"ALTER TABLE {fresh} RENAME TO {x.table}")
+                data = events.sparkSession.table(x.table)
+                x.rows, x.source_rows = data.agg(F.count("*"), F.coalesce(F.sum("session_event_count"), F.lit(0))).first()
+            x.data = data
         except Exception:
             x.state = State.ERROR
             raise
-        x.version, x.state = self.versions.get(x.source, 0), State.ACTIVE
+        x.version, x.state, x.made_of = self.versions.get(x.source, 0), State.ACTIVE, None
         return x
 
-    def drop(self, name: str) -> None:
-        del self.layouts[name.lower()]
+    def rebuild(self, name: str, events: DataFrame, **columns) -> Layout:
+        """The layout anew from its source as it is now."""
+        x = self.layouts[name.lower()]
+        return self.create(x.name, x.source, events, x.user_key, x.timeout_seconds, x.covers, x.table, **columns)
+
+    def drop(self, name: str, spark: SparkSession | None = None) -> None:
+        x = self.layouts.pop(name.lower())
+        x.state = State.DROPPED
+        if x.table and spark:
+            spark.sql(f"DROP TABLE IF EXISTS {x.table}")
 
-    def decide(self, source: str, user_key: str = "user_id", timeout_seconds: int | None = None, since: datetime | None = None, until: datetime | None = None, route: str = "auto", rows: int = 0) -> Decision:
+    def decide(self, source: str, user_key: str = "user_id", timeout_seconds: int | None = None, since: datetime | None = None, until: datetime | None = None, route: str = "auto", rows: int = 0, events: DataFrame | None = None) -> Decision:
         """Which layout answers a behavioural query; anything that could change its result falls back to the event table.
 
-        Legal: Active, same user key, same timeout if the query has one, the time range covered, source unchanged since the refresh.
+        Legal: Active, same user key, same timeout if the query has one, the time range covered, source unchanged since the refresh: nobody said
+        changed(), and with `events`, the source as it would be read now, its files and plan are those that the layout was built from.
         Worth it: session rows are fewer than 0.7 times the event rows, where both are known. route: auto, never, or a layout's name to force."""
         if route == "never":
             return Decision("events", None, "not wanted")
@@ -118,6 +154,8 @@ class Registry:
                 reason = f"{x.name} is {x.state.value}"
             elif x.version != self.versions.get(x.source, 0):
                 reason = f"{x.name} is older than its source"
+            elif events is not None and x.made_of is not None and x.made_of != fingerprint(events):
+                x.state, reason = State.STALE, f"{x.name} is older than its source"
             elif x.user_key != user_key:
                 reason = f"{x.name} has another user key"
             elif timeout_seconds is not None and timeout_seconds != x.timeout_seconds:
@@ -134,7 +172,7 @@ class Registry:
 
     def events(self, source: str, table: DataFrame, **options) -> DataFrame:
         """The events for a behavioural operator, from the session table where decide() allows it. Results are the same either way."""
-        d = self.decide(source, **options)
+        d = self.decide(source, events=table, **options)
         return sessions.events_of(self.layouts[d.layout.lower()].data) if d.layout else table
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,29 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, which driver and executors share. Without that setting a local folder serves a local master, and a cluster is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def as_of(left: DataFrame, right: DataFrame, on: str, ts: str, columns: list[str]) -> DataFrame:
+    """left with the columns of the latest row of right of the same key at or before its time (null without one).
+
+    One union, one shuffle by key and one sort: a window carries the last row of right on. Of right rows of equal time the one with the largest columns wins; null keys
+    match nothing."""
+    key = F.col(on).alias("__k")
+    a = left.select(key, F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.struct("*").alias("__l"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("__r"))
+    b = right.where(F.col(on).isNotNull()).select(key, F.col(ts).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l"), F.struct(*columns).alias("__r"))
+    past = Window.partitionBy("__k").orderBy("__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b).withColumn("__r", F.last("__r", True).over(past)).where("__side = 1")
+    return rows.select("__l.*", *[F.when(F.col("__k").isNotNull(), F.col(f"__r.{c}")).alias(c) for c in columns])
+
+
 def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> None:
     """Temporary views for SQL, one per table."""
     for name in names:
