@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from fathom.llm import media, mixing, orc_tokens, packing, pii, quality, toxicity, urls
+from fathom.llm import ann, common, media, mixing, orc_tokens, packing, pii, quality, shingles, toxicity, urls
 from fathom.llm.queries import tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,7 +59,7 @@ def test_orc_stripes_indexes_and_bloom_filters(spark, tmp_path):
     path = f"file://{tmp_path}/orc"
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        orc_tokens.write_tokens(docs, path, tokenizer_path(), stripe_bytes=256 << 10, index_rows=1000)
+        orc_tokens.write_tokens(docs, path, tokenizer_path(), file_bytes=1 << 40, stripe_bytes=256 << 10, index_rows=1000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     jvm = spark._jvm
@@ -271,3 +271,74 @@ def test_context_words_are_whole(spark):
     assert got[20] == f"card:{2 + 300 + 90}:{2 + 300 + 90 + 16}" and got[21] == ""
     m = pii.mentions(spark.createDataFrame([(1, f"aa {word} 4111111111111111 {word[:250]}, b")], "__row long, text string").select("__row", pii.hits(F.col("text")).alias("hits"))).where("kind = 2").first()
     assert (m.w1, m.w2, m.w3) == (word, f"aa {word}", word[:250])
+
+
+def test_components_against_union_find(spark):
+    """Chains, hubs and cycles over several partitions."""
+    r = random.Random(9)
+    links = [(i, i + 1) for i in range(3000, 3400)] + [(1, 5000 + i) for i in range(2000)] + [(r.randrange(10_000, 11_000), r.randrange(10_000, 11_000)) for _ in range(700)]
+    r.shuffle(links)
+    low = {}
+
+    def root(x):
+        low.setdefault(x, x)
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            low[y] = x
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    assert {x.node: x.root for x in common.components(df).collect()} == {x: root(x) for x in low}
+
+
+def test_similar_groups_with_split_tokens(spark):
+    """Tokens of more rows than `hot` are compared block by block; no pair is lost."""
+    from .test_advice_r01 import _crowd, _lowest
+
+    rows = list(enumerate(_crowd(), 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in shingles.similar_groups(df, reach=1, sample=50, hot=5).collect()} == _lowest(rows)
+
+
+def _nearest(rows, k=20, every=20):
+    out = {}
+    vectors = {}
+    for i, v in rows:
+        if i % every == 0:
+            vectors[i] = min(vectors.get(i, v), v)
+    for q, v in vectors.items():
+        got = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q), key=lambda x: (round(x[0], 9), x[1]))
+        out[q] = [i for _, i in got[:k]]
+    return out
+
+
+def test_neighbours_with_repeated_ids(spark):
+    """Rows of a query's own id never take the places of others, however many there are, of one vector or of many."""
+    g = np.random.default_rng(4)
+    spread = [tuple(float(x) for x in v) for v in g.integers(-3, 4, (120, 6)) if v.any()]
+    rows = [(20, (9.0,) * 6)] * 30 + [(20, (9.0, 9.0, 9.0, 9.0, 9.0, float(x))) for x in range(40)] + [(1000 + i, (9.0,) * 6) for i in range(25)] + [(40, (1.0, 0, 0, 0, 0, 0)), (40, (0.0, 1, 0, 0, 0, 0))] + [(7, (8.0,) * 6)] * 50 + list(enumerate(spread, 2001))
+    rows = [(i, tuple(map(float, v))) for i, v in rows]
+    df = spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, block_rows=90, query_rows=2, confidence=0.999999).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == _nearest(rows)
+
+
+def test_neighbours_recall_on_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    t = rows.where("vec_id is not null and embedding is not null").toArrow()
+    ids, x = t.column("vec_id").to_numpy(), np.array(t.column("embedding").to_pylist(), dtype=np.float64)
+    hits = total = 0
+    got = {}
+    for r in ann.nearest(rows).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[ids == ids[q]] = -np.inf
+        want = ids[np.lexsort((ids, -s))[:20]]
+        hits, total = hits + len(got[ids[q]] & set(want.tolist())), total + 20
+    assert hits / total >= 0.9
