@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, whole_text
+from .common import give_back, ship, whole_text
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHES: dict = {}
@@ -70,12 +70,12 @@ def gradients(w, b, xp, xu, share, prior: float) -> tuple:
     return positive, (xu.T @ (share * gu) - prior * xp.T @ gp / len(xp), float(share @ gu - prior * gp.mean()))
 
 
-def nn_pu(positive: list, unlabelled: list, prior: float, bits: int, top: int = 256, min_docs: int = 2, rounds: int = 600, rate: float = 0.1, ridge: float = 2e-2) -> Model:
+def nn_pu(positive: list, unlabelled: list, prior: float, bits: int, top: int = 256, min_docs: int = 2, rounds: int = 600, rate: float = 0.1, ridge: float = 4.0, most_ridge: float = 0.02) -> Model:
     """Minimises the non-negative PU risk  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the logistic loss.
 
     positive, unlabelled: arrays of feature numbers, one per text. Only the `top` features whose rate among positives most
     exceeds the rate that the class prior lets negatives have take part; with few confirmed texts, the others would
-    only add noise. A feature that negatives lack is prior times as frequent among unlabelled texts as among positives, and others more so: the median of that
+    only add noise. The penalty on the weights is ridge / (number of positives), at most most_ridge: it matters less the more there are. A feature that negatives lack is prior times as frequent among unlabelled texts as among positives, and others more so: the median of that
     ratio over the 64 strongest features takes the prior's place where it is smaller. Where the negative risk turns below zero, the step goes back along its gradient, as the estimator asks.
     """
     import numpy as np
@@ -113,13 +113,13 @@ def nn_pu(positive: list, unlabelled: list, prior: float, bits: int, top: int =
     for i, r in enumerate(positive):
         xp[i, np.isin(chosen, r)] = 1
     xu, share = dense(unlabelled)
-    w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
+    w, b, penalty = np.zeros(len(chosen)), float(np.log(prior / (1 - prior))), min(most_ridge, ridge / n_p)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         (gp, gp_b), (gn, gn_b) = gradients(w, b, xp, xu, share, prior)
         negative = risk(xp @ w + b, xu @ w + b, share, prior)[1]
         g, gb = (gp + gn, gp_b + gn_b) if negative >= 0 else (-gn, -gn_b)
-        g = g + ridge * prior * w
+        g = g + penalty * prior * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix1, fix2 = 1 - 0.9**t, 1 - 0.999**t
@@ -170,7 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
 
     import numpy as np
 
-    return nn_pu(sets(confirmed), sets(every), prior, bits)
+    model = nn_pu(sets(confirmed), sets(every), prior, bits)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
