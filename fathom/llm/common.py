@@ -94,15 +94,18 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[low[part]])], names=["u", "v"])
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 40, split_over: int = 1_000_000) -> DataFrame:
     """edges (a, b long) -> (node, root): root is the smallest id that node reaches. Ids without an edge have no row.
 
     Alternating large-star and small-star rounds: neighbourhoods shrink to stars around minima in O(log^2 n) rounds; after each, what a partition
-    can join on its own is joined there, so chains mostly vanish in the first. Only minima are aggregated (with map-side combine),
-    written, and joined back, so a hub's neighbours never meet in one group: both sides of a join are plain scans, of which AQE splits the
-    partition of a hub. Nulls and self-links are ignored; repeated edges do no harm.
+    can join on its own is joined there, so chains mostly vanish in the first. Only minima are aggregated (with map-side combine) and
+    joined back, so a hub's neighbours never meet in one group. From split_over links on the minima are written before they are joined: both
+    sides of a join are then plain scans, of which AQE splits the partition of a hub. Nulls and self-links are ignored; repeated edges do no harm.
     """
 
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if now[0] > split_over else df
+
     def written(links: DataFrame) -> tuple[DataFrame, tuple]:
         """The links after _forest, as a table, with their number and sum, which the writing itself gives."""
         seen = Observation()
@@ -116,9 +119,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not now[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        first = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
-        large = materialize(both.join(first, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        first = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
+        large = side(both.join(first, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = side(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         before, old = now, e
         e, now = written(small.where("u <> v"))
