@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with a similarity of 0.8 or more in five-word shingles one row stays: that of the smallest id, then of the smallest row number. A row without an id stays only where no row of its component has one."""
+    """By SimHash over five-word shingles, with an exact check: of each component of texts with a similarity of 0.8 or more in them one row stays: that of the smallest id, then of the smallest row number. A row without an id stays only where no row of its component has one."""
     rows = materialize(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "numbered")
     of = shingles.similar_groups(rows, row_col="__row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles: an exact prefix-filter join, and components."""
+"""Near-duplicates by SimHash and the Jaccard similarity of their word shingles: candidates of the fingerprints' grid, an exact prefix-filter join for those that differ in more bits, and components."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, free, materialize, ship, whole_text
 
 _SLOTS = 1 << 23
@@ -14,15 +15,14 @@ _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
 
 
 def _hashes(text: str | None, words: int):
-    """The sorted distinct XXH64 of a text's shingles: words as simhash.fingerprints has them; a text of fewer words is one shingle."""
+    """The sorted distinct XXH64 of a text's shingles, which are those of simhash.fingerprints."""
+    return _distinct(simhash.shingle_hashes(text, words))
+
+
+def _distinct(hashes):
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    w = (text or "").encode().lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
-    return np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64))
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
 
 
 def _node(hashes) -> int:
@@ -113,6 +113,20 @@ class _Bounds:
         return self.under * both >= self.over * (len(x) + len(y) - both)
 
 
+def _by_fingerprint(sigs: DataFrame, distance: int) -> DataFrame:
+    """(node, fp) -> distinct (a, b): pairs that join, directly or in chains, all nodes whose fingerprints differ in that many bits or fewer.
+
+    The links are those of the SimHash operator's grid; of the nodes of one fingerprint the smallest is paired with the others and stands for them."""
+    own = materialize(sigs.select("node", "fp").distinct(), "shingle_fingerprints")
+    of = materialize(own.groupBy("fp").agg(F.min("node").alias("node")), "simhash")
+    links = simhash.near_links(of.select("fp"), distance)
+    for side in ("a", "b"):
+        links = links.join(of.select(F.col("fp").alias(side), F.col("node").alias(f"node_{side}")).hint("merge"), side)
+    same = own.join(of.withColumnRenamed("node", "first").hint("merge"), "fp").select(F.col("first").alias("node_a"), F.col("node").alias("node_b"))
+    both = links.select("node_a", "node_b").union(same).where("node_a <> node_b")
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def _neighbours(rows: DataFrame, bounds: _Bounds, reach: int) -> DataFrame:
     """(token, node, n, at) -> distinct (a, b): of each row of a token and the `reach` next ones by size what the bounds allow.
 
@@ -228,13 +242,15 @@ def _others(some: DataFrame, bars: DataFrame, bounds: _Bounds) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long, root_a long, root_b long").distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 20_000, share: int = 16, most: int = 200_000, reach: int = 3, hot: int = 8192, max_hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 20_000, share: int = 16, most: int = 200_000, distance: int = 3, reach: int = 3, hot: int = 8192, max_hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, row, root and component_id of every row: row is row_col (null without one), root tells the components apart, and component_id is the smallest doc_id reachable over texts whose sets of shingles have that Jaccard similarity or more.
 
-    No pair is lost: in one order of all shingles, two such sets share one of their first n - ceil(similarity * n) + 1, and the first that
+    The method is SimHash over shingles of so many words: texts whose fingerprints differ in `distance` bits or fewer, as the operator's grid
+    joins them, are candidates, and their sets of shingles are compared. Similar texts can differ in more bits than any selective grid covers, so an
+    exact join supplies the rest of the pairs. It loses none: in one order of all shingles, two such sets share one of their first n - ceil(similarity * n) + 1, and the first that
     they share stands early enough in both. The order puts those that are common in a sample last. Texts with equal sets (64-bit hashes)
-    are one node, and a task gives the shingles of a node once. Candidates are pairs within a shingle's nodes; first each node with the next few
-    by size, then all pairs that the links so far leave in different components, so a large group is not expanded into its pairs.
+    are one node, and a task gives the shingles of a node once. Its candidates are pairs within a shingle's nodes; together with the fingerprints' each
+    node with the next few by size, then all pairs that the links so far leave in different components, so a large group is not expanded into its pairs.
     Candidates whose sizes, places or histograms of hashes rule the similarity out are dropped; the sets of all others are compared whole.
     Null text counts as empty, and all texts without words are one node; a null doc_id is never a component_id unless all
     ids of the component are null."""
@@ -250,12 +266,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sam
 
         seen: set[int] = set()
         for batch in batches:
-            node, size, first, bars = [], [], [], []
+            node, size, fp, first, bars = [], [], [], [], []
             for x in batch.column(2):
-                h = _hashes(x.as_py(), words)
+                all_of = list(simhash.shingle_hashes(x.as_py(), words))
+                h = _distinct(all_of)
                 k, n = _node(h), len(h)
                 node.append(k)
                 size.append(n)
+                fp.append(simhash.majority(all_of))
                 if k in seen:
                     first.append(None)
                     bars.append(None)
@@ -267,7 +285,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sam
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     rank = np.where(common[at] == h, counts[at], 0)
                 first.append(h[np.lexsort((h, rank))[: bounds.prefix(n)]].view(np.int64) if n else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bars, pa.binary())], names=["doc_id", "row", "node", "n", "prefix", "bars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bars, pa.binary())], names=["doc_id", "row", "node", "n", "fp", "prefix", "bars"])
 
     def shared(batches):
         import numpy as np
@@ -282,7 +300,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sam
             many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], names=["token", "node", "n", "at"])
 
-    sigs = materialize(own.mapInArrow(sign, "doc_id long, row long, node long, n int, prefix array<long>, bars binary"), "shingle_prefixes")
+    sigs = materialize(own.mapInArrow(sign, "doc_id long, row long, node long, n int, fp long, prefix array<long>, bars binary"), "shingle_prefixes")
     rows = sigs.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", "at")
     rows = rows.repartition("token").sortWithinPartitions("token", "n", "node")
     rows = materialize(rows.mapInArrow(shared, "token long, node long, n int, at int"), "shingle_rows")
@@ -349,7 +367,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sam
         free(pairs, kept)
         return links
 
-    near = both(_neighbours(rows, bounds, reach), bars, "bars", "n").mapInArrow(close, "a long, b long")
+    first = _by_fingerprint(sigs, distance).union(_neighbours(rows, bounds, reach)).distinct()
+    near = both(first, bars, "bars", "n").mapInArrow(close, "a long, b long")
     roots = materialize(components(confirmed(materialize(near, "shingle_pairs"))), "shingle_roots")
     of = rows.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     rest = materialize(of.select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")), "shingle_rooted")

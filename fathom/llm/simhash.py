@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,33 @@ from .common import components, materialize, ship, whole_text
 _ODD = 0x55555555
 
 
+def shingle_hashes(text: str | None, words: int, at_once: int = 65536) -> Iterator:
+    """The XXH64 (seed 42) of a text's shingles, repeats included, as unsigned arrays; a text of fewer words is one shingle, without words there is none."""
+    from itertools import islice
+
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode().lower().split()  # of bytes: ASCII letters and ASCII white space only
+    if not w:
+        return
+    grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
+    while got := [xxh64_intdigest(g, 42) for g in islice(grams, at_once)]:
+        yield np.array(got, dtype="<u8")
+
+
+def majority(hashes: Iterable) -> int:
+    """The bits that are set in over half of all hashes of the arrays, as a signed long."""
+    import numpy as np
+
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in hashes:
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of each whole text, as a signed long.
 
@@ -18,26 +47,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     shingles' XXH64 (seed 42)."""
 
     def run(batches):
-        from itertools import islice
-
-        import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
-
-        def one(text: str | None) -> int:
-            words = (text or "").encode().lower().split()  # of bytes: ASCII letters and ASCII white space only
-            if not words:
-                return 0
-            grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
-            counts, n = np.zeros(64, dtype=np.int64), 0
-            while got := [xxh64_intdigest(g, 42) for g in islice(grams, 65536)]:
-                bits = np.unpackbits(np.array(got, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                counts += bits.sum(axis=0, dtype=np.int64)
-                n += len(got)
-            return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(x.as_py()) for x in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(shingle_hashes(x.as_py(), shingle)) for x in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
 
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
