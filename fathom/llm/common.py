@@ -49,7 +49,7 @@ def free(*tables: DataFrame) -> None:
 
 
 def give_back() -> None:
-    """Returns memory that was freed on the driver to the system, where the C library can: after a training, little of it is needed again."""
+    """Returns memory that this process has freed to the system, where the C library can: the driver needs little of it again after a training, and a worker's counts for its executor while it is kept."""
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()

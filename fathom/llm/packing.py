@@ -8,9 +8,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, whole_text
+from .common import give_back, materialize, ship, whole_text
 
 _MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
+_AT_ONCE = 2 << 20  # bytes of text encoded together
 _BINS = f"bin_id long, used int, grp long, open boolean, members {_MEMBERS}"
 
 
@@ -115,7 +116,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
         enc, grp = encoder(tokenizer, end_id), TaskContext.get().partitionId()
         kept, n_whole = [], 0
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), _AT_ONCE):
+                give_back()  # what the slice before, or another query's task, has freed
                 ids, ends = enc.encode_batch(texts)
                 sizes = np.diff(ends, prepend=0)
                 row, piece, start, length = cut_all(sizes, capacity)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, free, materialize, ship, whole_text
+from .common import components, free, give_back, materialize, ship, whole_text
 
 _SLOTS = 1 << 23
 _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
@@ -286,6 +286,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sam
                     rank = np.where(common[at] == h, counts[at], 0)
                 first.append(h[np.lexsort((h, rank))[: bounds.prefix(n)]].view(np.int64) if n else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bars, pa.binary())], names=["doc_id", "row", "node", "n", "fp", "prefix", "bars"])
+        give_back()
 
     def shared(batches):
         import numpy as np
@@ -351,6 +352,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sam
                         node.append(k)
                         whole.append(h.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(whole, pa.binary())], names=["node", "hashes"])
+            give_back()
 
         names = [c for c in pairs.columns if c not in ("a", "b")]
 

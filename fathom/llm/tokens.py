@@ -172,16 +172,16 @@ class IdEncoder:
             names = []
         at = np.fromiter((self.known[x] for x in names), np.int64, len(names))
         ids, start, size = self.ids, self.start, self.size
-        parts = [ids[start[i] : start[i] + size[i]] for i in at]
         sizes = size[at]
+        ends = np.cumsum(sizes)
+        flat = ids[np.repeat(start[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         self._forget()
         n = len(names)
         while n > len(self.start):
             self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
-        flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
         self.ids = np.concatenate([flat, np.empty(1 << 16, np.uint32)])
         self.n_ids = len(flat)
-        self.start[:n], self.size[:n] = np.cumsum(sizes) - sizes, sizes
+        self.start[:n], self.size[:n] = ends - sizes, sizes
         self.known = dict(zip(names, range(n), strict=True))
 
     def _cuts(self, data, texts):
