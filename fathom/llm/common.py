@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 FALLBACK_DIR = "file:///tmp/checkpoints"
+_KEPT: list[dict] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -58,6 +60,22 @@ def give_back() -> None:
         trim(0)
 
 
+def kept() -> dict:
+    """A table for what an operator's tasks keep in a Python worker for the next ones, until make_room()."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def make_room() -> None:
+    """Drops what tasks of other operators have kept in this worker: workers outlive a query, and stay with what they keep while stages without Python run."""
+    if any(_KEPT):
+        for x in _KEPT:
+            x.clear()
+        gc.enable()
+        gc.collect()
+        give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import give_back, materialize, ship, whole_text
 
 _MEMBERS = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
-_AT_ONCE = 2 << 20  # bytes of text encoded together
+_AT_ONCE = 1 << 20  # bytes of text encoded together
 _BINS = f"bin_id long, used int, grp long, open boolean, members {_MEMBERS}"
 
 

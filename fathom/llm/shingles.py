@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, free, give_back, materialize, ship, whole_text
+from .common import components, free, give_back, make_room, materialize, ship, whole_text
 
 _SLOTS = 1 << 23
 _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
@@ -67,6 +67,7 @@ def _common(docs: DataFrame, words: int, sample: int, share: int, most: int):
         import numpy as np
         import pyarrow as pa
 
+        make_room()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *(_hashes(x.as_py(), words) for x in batch.column(0))]).view(np.int64))], names=["h"])
 
@@ -264,6 +265,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sam
         import numpy as np
         import pyarrow as pa
 
+        make_room()
         seen: set[int] = set()
         for batch in batches:
             node, size, fp, first, bars = [], [], [], [], []

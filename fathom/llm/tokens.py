@@ -7,10 +7,12 @@ import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
 
+from .common import kept
+
 _MARKS = b".,;:!?"
 #: Letters of U+00C0 to U+027F and ASCII, after a blank or without: one pre-token.
 _WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+")
-_ENCODERS: dict = {}
+_ENCODERS: dict = kept()
 
 
 def _alphabet() -> str:
@@ -298,7 +300,7 @@ class IdEncoder:
 
 
 def encoder(path: str, end_id: int | None) -> IdEncoder:
-    """One per Python worker."""
+    """One per Python worker, until make_room()."""
     if (path, end_id) not in _ENCODERS:
         _ENCODERS[path, end_id] = IdEncoder(path, end_id)
     return _ENCODERS[path, end_id]

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, ship, whole_text
+from .common import give_back, make_room, ship, whole_text
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHES: dict = {}
@@ -161,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     def run(batches):
         import pyarrow as pa
 
+        make_room()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x.as_py(), bits)) for x in batch.column(0)], pa.list_(pa.int32()))], names=["f"])
 
@@ -186,6 +187,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep_text: bool
 
         import pyarrow as pa
 
+        make_room()
         for batch in batches:
             got = [1 / (1 + math.exp(-max(-30.0, min(30.0, model.logit(x.as_py()))))) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
@@ -202,6 +204,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     def toxic(texts):
         import math
 
+        make_room()
         return texts.map(lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, model.logit(x))))) >= threshold)
 
     return docs.where(~toxic(whole_text()))
