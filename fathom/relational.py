@@ -97,6 +97,6 @@ EACH: dict[str, tuple[str, str]] = {
     "intersect_all": ("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier"),
     "except_all": ("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
     "natural_join": ("SELECT * FROM (SELECT n_regionkey AS r_regionkey, n_name FROM nation) NATURAL JOIN region", "SELECT * FROM (SELECT n_regionkey AS r_regionkey, n_name FROM nation) a NATURAL JOIN region"),
-    # Spark numbers the rows in no order where LIMIT's ORDER BY holds a column that the same SELECT leaves out, so an inner SELECT keeps it
-    "lateral_latest": ("SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey NULLS LAST LIMIT 1)) t", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t"),
+    # Spark numbers the rows in no order where LIMIT's ORDER BY holds a column that the same SELECT leaves out, so an inner SELECT keeps it; the hint deals a large file out before it is sorted
+    "lateral_latest": ("SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice FROM (SELECT /*+ REPARTITION(o_orderkey) */ o_orderkey, o_custkey, o_totalprice FROM orders) WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey NULLS LAST LIMIT 1)) t", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t"),
 }
